@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash
+from . import chat, mixing, quality, secrets, simhash
 from .storage import table
 
 
@@ -14,6 +14,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = secrets.secret_report(table(spark, "documents", sf_dir))
+    return report.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.quality_filter(table(spark, "documents", sf_dir), table(spark, "labels", sf_dir))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -24,8 +29,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, "conversations", sf_dir).select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.chat_digests(chat.format_chats(turns.unionByName(more)))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op5_secrets": op5_secrets,
+    "op7_chat": op7_chat,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
