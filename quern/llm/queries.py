@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, secrets, simhash
+from . import bpe, chat, mixing, quality, secrets, simhash
 from .storage import table
 
 
@@ -36,9 +37,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(more)))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, "documents", sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
+    "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
