@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, secrets, simhash
+from . import bpe, chat, langid, mixing, quality, secrets, simhash
 from .storage import table
 
 
@@ -41,7 +41,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.round_trip_digests(table(spark, "documents", sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = langid.identify(table(spark, "documents", sf_dir).select("doc_id", "text", "lang"))
+    return said.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
