@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .wordhash import Words, byte_chunks, span_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,7 +117,7 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def fit_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.97, 0.98, 0.99, 0.995, 1.0), sample: int = 200_000) -> dict[tuple[str, str], float]:
+def fit_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.97, 0.98, 0.99, 0.995, 1.0), sample: int = 100_000) -> dict[tuple[str, str], float]:
     """(stratum, feature) -> accepted cutoff, from rows with stratum, quality and FEATURES.
 
     At most ``sample`` labelled rows (a documented bound, chosen by hash) are
@@ -157,12 +158,11 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confi
     labels no cutoff is accepted and only base_failed rejects. An empty table
     gives an empty result.
     """
-    counted = quality_counts(docs)
+    counted = materialize(quality_counts(docs), "counts")
     rated = counted.select("*", *(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr(STRATUM).alias("stratum"))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = quality_counts(docs.join(marks, "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(marks, "doc_id")
-    known = known.where(~failed).select("doc_id", "quality", *(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr(STRATUM).alias("stratum"))
+    known = counted.join(marks, "doc_id").dropDuplicates(["doc_id"]).where(~failed).select("doc_id", "quality", *(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr(STRATUM).alias("stratum"))
     cutoffs = fit_cutoffs(known, risk, confidence)
     rules = [F.when((F.col("stratum") == s) & (F.col(f) > c), F.lit(f"{s}:{f}")) for (s, f), c in sorted(cutoffs.items())]
     out = rated.withColumn("base_failed", failed).withColumn("rule", reduce(lambda a, b: F.coalesce(a, b), rules, F.lit(None).cast("string")))
