@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, secrets, simhash
+from . import bpe, chat, langid, mixing, quality, secrets, simhash, substrings
 from .storage import table
 
 
@@ -46,9 +46,15 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, "documents", sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mixing": op2_mixing,
+    "op3_substrings": op3_substrings,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
