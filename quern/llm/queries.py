@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, secrets, simhash, substrings
+from . import bpe, chat, embeddings, langid, mixing, quality, secrets, simhash, substrings
 from .storage import table
 
 
@@ -51,10 +51,15 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, "embeddings", sf_dir))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mixing": op2_mixing,
     "op3_substrings": op3_substrings,
+    "op4_embeddings": op4_embeddings,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
