@@ -14,8 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that byte-level pre-tokenizers split by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct pieces that are remembered between batches.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def _byte_names() -> dict[str, int]:
@@ -60,11 +60,13 @@ class Codec:
                 self.parts.append((number[a], number[b]))
                 self.made[number[a] << 32 | number[b]] = number[a + b]
         self.number = number
-        self.ids = np.array([ids[t] for t in number], np.int32)
+        self.id_list = [ids[t] for t in number]
         self.lengths = [len(t) for t in number]
-        self.longest = [0] * 256
+        # The longest token that ends with each three bytes.
+        self.longest: dict[bytes, int] = {}
         for t in number:
-            self.longest[t[-1]] = max(self.longest[t[-1]], len(t))
+            if len(t) > 2:
+                self.longest[t[-3:]] = max(self.longest.get(t[-3:], 0), len(t))
         top = max([*ids.values(), *self.added.values()]) + 1
         words = [b""] * top
         for t, i in ids.items():
@@ -105,7 +107,7 @@ class Codec:
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode pieces that are not remembered, in one walk over their trie."""
         words = sorted((p.encode(), p) for p in pieces)
-        number, longest, lengths, stands, parts_of = self.number, self.longest, self.lengths, self._stands, self.ids
+        token_of, longest, lengths, fits, stands, ids, known = self.number.get, self.longest.get, self.lengths, self._fits.get, self._stands, self.id_list, self._pieces
         last = [0]
         before = b""
         for word, piece in words:
@@ -116,36 +118,43 @@ class Codec:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest[word[end - 1]]), end):
-                    token = number.get(word[start:end])
-                    if token is not None and (start == 0 or stands(last[start], token)):
+                most = longest(word[end - 3 : end], 2) if end > 2 else end
+                for start in range(end - most if most < end else 0, end):
+                    token = token_of(word[start:end])
+                    if token is not None:
+                        if start:
+                            ok = fits(last[start] << 32 | token)
+                            if not (stands(last[start], token) if ok is None else ok):
+                                continue
                         last.append(token)
                         break
             before, at, out = word, len(word), []
             while at:
                 token = last[at]
-                out.append(token)
+                out.append(ids[token])
                 at -= lengths[token]
-            self._pieces[piece] = tuple(parts_of[out[::-1]].tolist())
+            out.reverse()
+            known[piece] = tuple(out)
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text; of a null one none."""
         split = [self._added_split.split(t) if self._added_split and t else [t or ""] for t in texts]
         found = [[PIECES.findall(part) for part in parts[::2]] for parts in split]
         known = self._pieces
-        new = {p for runs in found for run in runs for p in run if p not in known}
+        pieces = set(chain.from_iterable(chain.from_iterable(found)))
+        new = pieces.difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = {p for runs in found for run in runs for p in run}
+            new = pieces
         self.learn(new)
+        ids_of = known.__getitem__
         out = []
         for parts, runs in zip(split, found, strict=True):
             ids: list[int] = []
             for k, run in enumerate(runs):
                 if k:
                     ids.append(self.added[parts[2 * k - 1]])
-                for p in run:
-                    ids += known[p]
+                ids.extend(chain.from_iterable(map(ids_of, run)))
             out.append(ids)
         return out
 
@@ -166,7 +175,7 @@ def _codec(spec: str) -> Codec:
     return _codecs[key]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
