@@ -28,6 +28,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import discard, materialize
 from .wordhash import mix
 
 ORDER = 5
@@ -240,42 +241,64 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """lang, gram and n over all rows with lang and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], int] = {}
-        for part in _rows(batches):
+        for part in _rows(batches, 4_000_000):
             langs = np.array(part.column(0).to_pylist(), object)
             texts = part.column(1).to_pylist()
-            for lang in set(langs):
+            for lang in sorted(set(langs)):
                 chars, begin = codes([texts[i] for i in np.flatnonzero(langs == lang)])
-                place = np.flatnonzero(_places(begin))
-                _, first, n = np.unique(gram_hashes(chars)[ORDER][place], return_index=True, return_counts=True)
-                strings = chars.tobytes().decode("utf-32-le")
-                for at, k in zip(place[first].tolist(), n.tolist(), strict=True):
-                    key = (lang, strings[at - ORDER + 1 : at + 1])
-                    sums[key] = sums.get(key, 0) + k
-            if len(sums) > 1_000_000:
-                yield _counted(sums)
-                sums = {}
-        yield _counted(sums)
+                grams, n = distinct_grams(chars, np.flatnonzero(_places(begin)))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams, pa.string()), pa.array(n)], ["lang", "gram", "n"])
 
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _counted(sums: dict[tuple[str, str], int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["lang", "gram", "n"])
+def distinct_grams(chars: np.ndarray, place: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct ORDER characters that end at the places, and how often each occurs.
+
+    Characters are numbered within this call, so that an n-gram packs into 64
+    bits and one sort of integers counts; alphabets too large for that are split
+    by the n-grams' first character.
+    """
+    alphabet, number = np.unique(chars, return_inverse=True)
+    number = number.astype(np.int64)
+    if len(alphabet) > 6000:
+        lead = number[place - ORDER + 1]
+        parts = [distinct_grams_of(alphabet, number, place[lead == c], ORDER - 1) for c in np.unique(lead)]
+        heads = np.unique(lead)
+        return [chr(alphabet[h]) + g for h, (gs, _) in zip(heads, parts, strict=True) for g in gs], np.concatenate([n for _, n in parts])
+    return distinct_grams_of(alphabet, number, place, ORDER)
+
+
+def distinct_grams_of(alphabet: np.ndarray, number: np.ndarray, place: np.ndarray, order: int) -> tuple[list[str], np.ndarray]:
+    base = len(alphabet) + 1
+    packed = np.zeros(len(place), np.int64)
+    for k in range(order - 1, -1, -1):
+        packed = packed * base + number[place - k]
+    packed.sort()
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else np.zeros(0, np.int64)
+    value, n = packed[first], np.diff(np.append(first, len(packed)))
+    letters = np.empty((len(value), order), np.uint32)
+    for k in range(order - 1, -1, -1):
+        letters[:, k] = alphabet[value % base]
+        value = value // base
+    text = letters.tobytes().decode("utf-32-le")
+    return [text[i : i + order] for i in range(0, len(text), order)], n.astype(np.int64)
 
 
 def _bounded(counts: DataFrame, max_grams: int) -> pd.DataFrame:
     """The most frequent n-grams of each language, at most max_grams; a level of counts that does not fit whole is left out."""
     level = F.floor(F.log2("n") * 8)
-    held = counts.withColumn("level", level)
+    held = materialize(counts.withColumn("level", level), "grams")
     sizes = held.groupBy("lang", "level").count().toPandas().sort_values(["lang", "level"], ascending=[True, False])
     sizes["upto"] = sizes.groupby("lang")["count"].cumsum()
     fits = sizes[sizes["upto"] <= max_grams].groupby("lang")["level"].min()
     keep = F.lit(False)
     for lang, least in fits.items():
         keep = keep | ((F.col("lang") == lang) & (F.col("level") >= int(least)))
-    return held.where(keep).select("lang", "gram", "n").toPandas()
+    table = held.where(keep).select("lang", "gram", "n").toPandas()
+    discard(held)
+    return table
 
 
 def _judge(docs: DataFrame, model: Broadcast) -> DataFrame:
@@ -298,7 +321,7 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(0))
 
 
-def train(labelled: DataFrame, max_grams: int = 1 << 18) -> Model:
+def train(labelled: DataFrame, max_grams: int = 1 << 16) -> Model:
     """Counts on the rows of folds 0 and 1, calibration on those of fold 3; fold 2 is never read.
 
     Without fold 3, limits stay infinite and the score is 1. Rows with a null
@@ -351,7 +374,7 @@ def _monotone(bins: pd.DataFrame) -> np.ndarray:
     return np.concatenate([np.full(int(k), min(1.0, r / n)) for r, n, k in blocks])
 
 
-def identify(docs: DataFrame, max_grams: int = 1 << 18) -> DataFrame:
+def identify(docs: DataFrame, max_grams: int = 1 << 16) -> DataFrame:
     """Train on ``docs`` (doc_id, text, lang) and judge all its rows.
 
     doc_id, held_out (fold 2), lang_pred (a learned lang, or ``und`` for a null
@@ -364,7 +387,7 @@ def identify(docs: DataFrame, max_grams: int = 1 << 18) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy", "letters")
 
 
-def accepted(docs: DataFrame, max_grams: int = 1 << 18) -> DataFrame:
+def accepted(docs: DataFrame, max_grams: int = 1 << 16) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns.
 
     A text is judged where it stands: no join, so repeated and null doc_ids are no matter.
