@@ -216,6 +216,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens and decoded_sha256 of every row: the ids, and the digest of the text they decode to."""
+    spec = _spec(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(spec.value)
+        for part, texts in _runs(batches):
+            encoded = codec.encode_batch(texts)
+            digests = [hashlib.sha256(codec.decode(ids).encode()).hexdigest() for ids in encoded]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded, pa.list_(pa.int32())), pa.array([len(i) for i in encoded], pa.int64()), pa.array(digests, pa.string())], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
+
+
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids, in one pass."""
     spec = _spec(docs, path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, langid, mixing, quality, secrets, simhash, substrings
+from . import bpe, chat, embeddings, langid, lines, mixing, quality, secrets, simhash, substrings
 from .storage import table
 
 
@@ -55,6 +55,11 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, "embeddings", sf_dir))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, "documents", sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.greatest("__n_lines", F.lit(0)).alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mixing": op2_mixing,
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
