@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Token and phrase grammars.
 ASCII_TOKEN = r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:[.-][0-9]+)*"
@@ -23,7 +24,7 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE = r"(?U)\s"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
 
