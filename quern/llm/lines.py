@@ -6,26 +6,33 @@ phrases; a line of fewer words is one phrase. Earlier lines count whether or not
 they go themselves.
 
 1. Equal lines are collapsed by two hashes; the first of each class stands for it.
-2. The phrases of a line are ordered rarest first, and the first fifth (n // 5 + 1,
+2. The phrases of a line are put in one order, and the first fifth (n // 5 + 1,
    the prefix) is kept: two lines that similar share a phrase of both prefixes.
-   As counting every phrase would shuffle more than the texts, the order tells
-   rarity by length, longer phrases being the rarer, and then by hash. Any one
-   order of all phrases gives whole results.
-3. Lines that share a prefix phrase meet in a join by phrase, under the length
-   filter, the positional filter and a bound on the difference of both sets from
-   parity bitmaps. All three only drop pairs that cannot be similar enough.
+   The order is by hash at first; phrases are counted in these prefixes, and lines
+   whose prefix has a common one get a second prefix under the order of rarity,
+   where common phrases come last, by count. A pair of which one line's first
+   prefix is free of common phrases meets at a phrase that is not common; the other
+   pairs meet in second prefixes. Counting all phrases outright would shuffle more
+   than the texts themselves.
+3. Lines meet in a join by phrase, under the length filter, the positional filter
+   and a bound on the difference of both sets from parity bitmaps. All three only
+   drop pairs that cannot be similar enough.
 4. What is left is verified on whole phrase sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, materialize, release
 
 #: Similarity NUMER / DENOM or more.
 NUMER, DENOM = 4, 5
+#: A phrase in the first prefixes of more lines than this is common: it comes late in the order. Results do not depend on it.
+COMMON = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,20 +42,26 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _phrases(line: Column, shingle: int) -> Column:
-    """Sorted distinct phrases as longs: the lower the rarer (eight bits of length, longest first, then hash)."""
-    words = F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+    """Sorted distinct hashes of the phrases of a line."""
+    other = F.lit(False)
+    for space in "\t\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(space))
+    words = F.array_remove(F.split(F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " "), "")
 
     def build(ws: Column) -> Column:
-        def phrase(i: Column) -> Column:
-            parts = [F.get(ws, i + k) for k in range(shingle)]
-            length = sum((F.length(p) for p in parts[1:]), F.length(parts[0]))
-            rank = F.call_function("shiftleft", (F.lit(127) - F.least(length, F.lit(127))).cast("long"), F.lit(56))
-            return rank.bitwiseOR(F.shiftrightunsigned(F.xxhash64(*parts), 8))
+        many = F.transform(F.sequence(F.lit(0), F.size(ws) - shingle), lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(shingle))))
+        return F.sort_array(F.array_distinct(F.when(F.size(ws) >= shingle, many).otherwise(F.array(F.xxhash64(ws)))))
+
+    return _with(F.transform(words, lambda w: F.xxhash64(w)), build)
+
+
+def _with(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)``, where value is evaluated once."""
+    return F.get(F.transform(F.array(value), lambda v: build(v)), F.lit(0))
 
-        many = F.transform(F.sequence(F.lit(0), F.size(ws) - shingle), phrase)
-        return F.sort_array(F.array_distinct(F.when(F.size(ws) >= shingle, many).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(ws), 8)))))
 
-    return F.element_at(F.transform(F.array(words), build), 1)
+def _prefix(phrases: Column) -> Column:
+    return F.slice(phrases, F.lit(1), F.floor(F.size(phrases) * (DENOM - NUMER) / DENOM).cast("int") + 1)
 
 
 def _bitmaps(phrases: Column) -> list[Column]:
@@ -60,16 +73,32 @@ def _bitmaps(phrases: Column) -> list[Column]:
     return [one(0), one(1)]
 
 
+def _rarest_first(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """Second prefixes of the lines whose first one has a common phrase: phrase, at, doc_id and line_no."""
+    common = shared.where(F.col("lines") > COMMON)
+    held = common.select("doc_id", "line_no").distinct()
+    counts = common.select("phrase", "lines").distinct()
+    own = sets.join(held, ["doc_id", "line_no"])
+    met = own.select("doc_id", "line_no", F.explode("phrases").alias("phrase")).join(counts, "phrase")
+    late = met.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("lines", "phrase"))).alias("late"))
+    ordered = own.join(late, ["doc_id", "line_no"]).select("doc_id", "line_no", F.concat(F.array_except("phrases", F.col("late.phrase")), F.col("late.phrase")).alias("phrases"))
+    return ordered.select("doc_id", "line_no", F.posexplode(_prefix(F.col("phrases"))).alias("at", "phrase"))
+
+
 def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc_id and line_no of the lines of ``sets`` that are similar to an earlier one; ``shared`` has phrase, at, doc_id and line_no."""
-    marks = shared.join(sets.select("doc_id", "line_no", "n", "b0", "b1"), ["doc_id", "line_no"])
+    """doc_id and line_no of the lines of ``sets`` that are similar to an earlier one."""
+    columns = ["phrase", "at", "doc_id", "line_no"]
+    first = shared.where(F.col("lines") <= COMMON).select(*columns, F.lit(1).alias("turn"))
+    marks = first.union(_rarest_first(sets, shared).select(*columns, F.lit(2)))
+    marks = materialize(marks.join(sets.select("doc_id", "line_no", "n", "b0", "b1"), ["doc_id", "line_no"]), "marks")
     x, y = marks.alias("x"), marks.alias("y")
-    c = lambda name: F.col(name)
+    c = F.col
     both = c("x.n") + c("y.n")
-    overlap = F.least("x.at", "y.at") + 1 + F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at")) - 1
+    overlap = F.least("x.at", "y.at") + F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at"))
     differ = F.bit_count(c("x.b0").bitwiseXOR(c("y.b0"))) + F.bit_count(c("x.b1").bitwiseXOR(c("y.b1")))
     meets = (
         (c("x.phrase") == c("y.phrase"))
+        & (c("x.turn") == c("y.turn"))
         & ((c("y.doc_id") < c("x.doc_id")) | ((c("y.doc_id") == c("x.doc_id")) & (c("y.line_no") < c("x.line_no"))))
         & (DENOM * F.least("x.n", "y.n") >= NUMER * F.greatest("x.n", "y.n"))
         & ((NUMER + DENOM) * overlap >= NUMER * both)
@@ -80,30 +109,39 @@ def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("doc_y"), F.col("line_no").alias("line_y"), "phrases")
     full = pairs.join(left, ["doc_id", "line_no"]).join(right, ["doc_y", "line_y"])
     same = F.size(F.array_intersect("own", "phrases"))
-    return full.where((NUMER + DENOM) * same >= NUMER * (F.size("own") + F.size("phrases"))).select("doc_id", "line_no").distinct()
+    found = full.where((NUMER + DENOM) * same >= NUMER * (F.size("own") + F.size("phrases"))).select("doc_id", "line_no").distinct()
+    out = materialize(found, "near")
+    discard(marks)
+    return out
 
 
 def repeated_lines(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and gone (places of the lines that go, from 0) of the documents that lose lines."""
+    spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     keys = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")]
-    every = materialize(_lines(known).select("doc_id", "line_no", *keys), "lines")
-    phrases = _phrases(F.col("line"), shingle)
-    told = _lines(known).select("doc_id", "line_no", *keys, phrases.alias("phrases"))
-    told = told.select("doc_id", "line_no", "k1", "k2", F.slice("phrases", F.lit(1), F.floor(F.size("phrases") * (DENOM - NUMER) / DENOM).cast("int") + 1).alias("prefix"))
+    told = _lines(known).select("doc_id", "line_no", *keys, _phrases(F.col("line"), shingle).alias("phrases")).select("doc_id", "line_no", "k1", "k2", _prefix(F.col("phrases")).alias("prefix"))
     classes = materialize(told.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix")), "classes")
+    release(spark)
+    every = _lines(known).select("doc_id", "line_no", *keys)
+    later = materialize(every.join(classes.select("k1", "k2", "first"), ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no"), "later")
+    release(spark)
     marks = classes.select("first.doc_id", "first.line_no", F.posexplode("prefix").alias("at", "phrase"))
-    twice = marks.groupBy("phrase").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("phrase")
+    twice = marks.groupBy("phrase").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
     shared = materialize(marks.join(twice, "phrase"), "shared")
+    discard(classes)
+    release(spark)
     asked = shared.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked"))
-    wanted = known.join(asked, "doc_id").select("doc_id", F.explode(F.transform("asked", lambda i: F.struct(i.alias("line_no"), F.get(F.split("text", "\n"), i).alias("line")))).alias("l"))
+    pick = _with(F.split("text", "\n"), lambda lines: F.transform("asked", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
+    wanted = known.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", F.explode(pick).alias("l"))
     sets = wanted.select("doc_id", "l.line_no", _phrases(F.col("l.line"), shingle).alias("phrases")).withColumn("n", F.size("phrases"))
     sets = materialize(sets.select("*", *(b.alias(f"b{i}") for i, b in enumerate(_bitmaps(F.col("phrases"))))), "sets")
+    release(spark)
     near = _near(shared, sets)
-    firsts = classes.select("k1", "k2", "first")
-    later = every.join(firsts, ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
+    discard(shared, sets)
     out = materialize(later.union(near).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
-    discard(every, classes, shared, sets)
+    discard(later, near)
+    release(spark)
     return out
 
 
@@ -116,9 +154,9 @@ def dedup_lines(docs: DataFrame, shingle: int = 5) -> DataFrame:
     stays. An empty table gives an empty result.
     """
     gone = repeated_lines(docs, shingle).select(F.col("doc_id").alias("__id"), "gone")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    keep = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_with(F.split("text", "\n"), keep))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     columns = [text.alias("text") if name == "text" else F.col(name) for name in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__n_removed"))
+    return joined.select(*columns, n_lines.cast("long").alias("__n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__n_removed"))

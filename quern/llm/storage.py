@@ -8,6 +8,7 @@ and the context's checkpoint directory are both unset, as in tests.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -40,6 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them when the JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote and nothing lazy reads any more."""
     for df in frames:
