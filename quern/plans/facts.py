@@ -46,13 +46,13 @@ def asof_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o.o_orderkey, e.event_id from orders o join events e on o.o_custkey = e.user_id and epoch_us(e.ts) between epoch_us(o.o_orderdate) and epoch_us(o.o_orderdate) + 30 * 86400000000""")
+select o_orderkey, l_linenumber, l_suppkey from orders join lineitem on o_orderkey = l_orderkey and epoch_us(l_shipdate) between epoch_us(o_orderdate) and epoch_us(o_orderdate) + 30 * 86400000000""")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a customer within thirty days from an order, by day buckets."""
+    """Lines shipped within thirty days from the order, by buckets of ten days."""
     day = 86_400_000_000
-    points = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), _micros("ts").alias("at"))
-    spans = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), _micros("o_orderdate").alias("begin"))
-    return J.interval_join(points, spans, ["k"], F.col("at"), F.col("begin"), F.col("begin") + 30 * day, 10 * day).select("o_orderkey", "event_id")
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey", _micros("l_shipdate").alias("at"))
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", _micros("o_orderdate").alias("begin"))
+    return J.interval_join(points, spans, ["o_orderkey"], F.col("at"), F.col("begin"), F.col("begin") + 30 * day, 10 * day).select("o_orderkey", "l_linenumber", "l_suppkey")
 
 
 @query("""
