@@ -85,14 +85,9 @@ def _rarest_first(sets: DataFrame, shared: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "line_no", F.posexplode(_prefix(F.col("phrases"))).alias("at", "phrase"))
 
 
-def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc_id and line_no of the lines of ``sets`` that are similar to an earlier one."""
-    columns = ["phrase", "at", "doc_id", "line_no"]
-    first = shared.where(F.col("lines") <= COMMON).select(*columns, F.lit(1).alias("turn"))
-    marks = first.union(_rarest_first(sets, shared).select(*columns, F.lit(2)))
-    marks = materialize(marks.join(sets.select("doc_id", "line_no", "n", "b0", "b1"), ["doc_id", "line_no"]), "marks")
-    x, y = marks.alias("x"), marks.alias("y")
-    c = F.col
+def _pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Distinct pairs of a line and an earlier one that meet at a phrase and may be similar enough."""
+    x, y, c = later.alias("x"), earlier.alias("y"), F.col
     both = c("x.n") + c("y.n")
     overlap = F.least("x.at", "y.at") + F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at"))
     differ = F.bit_count(c("x.b0").bitwiseXOR(c("y.b0"))) + F.bit_count(c("x.b1").bitwiseXOR(c("y.b1")))
@@ -104,14 +99,36 @@ def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
         & ((NUMER + DENOM) * overlap >= NUMER * both)
         & ((NUMER + DENOM) * differ <= (DENOM - NUMER) * both)
     )
-    pairs = x.join(y, meets).select(c("x.doc_id").alias("doc_id"), c("x.line_no").alias("line_no"), c("y.doc_id").alias("doc_y"), c("y.line_no").alias("line_y")).distinct()
+    return x.join(y, meets).select(c("x.doc_id").alias("doc_id"), c("x.line_no").alias("line_no"), c("y.doc_id").alias("doc_y"), c("y.line_no").alias("line_y")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id and line_no of the first lines of the pairs that are similar enough on whole sets."""
     left = sets.select("doc_id", "line_no", F.col("phrases").alias("own"))
     right = sets.select(F.col("doc_id").alias("doc_y"), F.col("line_no").alias("line_y"), "phrases")
     full = pairs.join(left, ["doc_id", "line_no"]).join(right, ["doc_y", "line_y"])
     same = F.size(F.array_intersect("own", "phrases"))
-    found = full.where((NUMER + DENOM) * same >= NUMER * (F.size("own") + F.size("phrases"))).select("doc_id", "line_no").distinct()
+    return full.where((NUMER + DENOM) * same >= NUMER * (F.size("own") + F.size("phrases"))).select("doc_id", "line_no").distinct()
+
+
+def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id and line_no of the lines of ``sets`` that are similar to an earlier one.
+
+    Each line is held against the first line of each phrase it has; only lines
+    that this does not settle meet all earlier ones. So a group of near copies
+    costs one pair a line and phrase, not all pairs.
+    """
+    columns = ["phrase", "at", "doc_id", "line_no"]
+    first = shared.where(F.col("lines") <= COMMON).select(*columns, F.lit(1).alias("turn"))
+    marks = first.union(_rarest_first(sets, shared).select(*columns, F.lit(2)))
+    marks = materialize(marks.join(sets.select("doc_id", "line_no", "n", "b0", "b1"), ["doc_id", "line_no"]), "marks")
+    heads = marks.groupBy("phrase", "turn").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("doc_id", "line_no", "at", "n", "b0", "b1")).alias("h"))
+    heads = heads.where("lines > 1").select("phrase", "turn", "h.*")
+    easy = materialize(_verified(_pairs(marks, heads), sets), "easy")
+    rest = marks.join(easy, ["doc_id", "line_no"], "left_anti")
+    found = easy.union(_verified(_pairs(rest, marks), sets))
     out = materialize(found, "near")
-    discard(marks)
+    discard(marks, easy)
     return out
 
 
