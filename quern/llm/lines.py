@@ -5,7 +5,7 @@ Jaccard similarity of at least 0.8 between the sets of their ``shingle``-word
 phrases; a line of fewer words is one phrase. Earlier lines count whether or not
 they go themselves.
 
-1. Equal lines are collapsed by two hashes; the first of each class stands for it.
+1. Of equal lines, told by two hashes, only the first goes on.
 2. The phrases of a line are put in one order, and the first fifth (n // 5 + 1,
    the prefix) is kept: two lines that similar share a phrase of both prefixes.
    The order is by hash at first; phrases are counted in these prefixes, and lines
@@ -104,11 +104,20 @@ def _pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """doc_id and line_no of the first lines of the pairs that are similar enough on whole sets."""
-    left = sets.select("doc_id", "line_no", F.col("phrases").alias("own"))
-    right = sets.select(F.col("doc_id").alias("doc_y"), F.col("line_no").alias("line_y"), "phrases")
-    full = pairs.join(left, ["doc_id", "line_no"]).join(right, ["doc_y", "line_y"])
+    spark = pairs.sparkSession
+    pairs = materialize(pairs, "pairs")
+    release(spark)
+    asked = pairs.select("doc_id", "line_no").union(pairs.select("doc_y", "line_y")).distinct()
+    own = materialize(sets.select("doc_id", "line_no", "phrases").join(asked.hint("shuffle_hash"), ["doc_id", "line_no"], "left_semi"), "own")
+    release(spark)
+    right = own.select(F.col("doc_id").alias("doc_y"), F.col("line_no").alias("line_y"), "phrases")
+    full = pairs.join(own.withColumnRenamed("phrases", "own"), ["doc_id", "line_no"]).join(right, ["doc_y", "line_y"])
     same = F.size(F.array_intersect("own", "phrases"))
-    return full.where((NUMER + DENOM) * same >= NUMER * (F.size("own") + F.size("phrases"))).select("doc_id", "line_no").distinct()
+    found = full.where((NUMER + DENOM) * same >= NUMER * (F.size("own") + F.size("phrases"))).select("doc_id", "line_no").distinct()
+    out = materialize(found, "verified")
+    discard(pairs, own)
+    release(spark)
+    return out
 
 
 def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,11 +133,10 @@ def _near(shared: DataFrame, sets: DataFrame) -> DataFrame:
     marks = materialize(marks.join(sets.select("doc_id", "line_no", "n", "b0", "b1"), ["doc_id", "line_no"]), "marks")
     heads = marks.groupBy("phrase", "turn").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("doc_id", "line_no", "at", "n", "b0", "b1")).alias("h"))
     heads = heads.where("lines > 1").select("phrase", "turn", "h.*")
-    easy = materialize(_verified(_pairs(marks, heads), sets), "easy")
-    rest = marks.join(easy, ["doc_id", "line_no"], "left_anti")
-    found = easy.union(_verified(_pairs(rest, marks), sets))
-    out = materialize(found, "near")
-    discard(marks, easy)
+    easy = _verified(_pairs(marks, heads), sets)
+    rest = _verified(_pairs(marks.join(easy, ["doc_id", "line_no"], "left_anti"), marks), sets)
+    out = materialize(easy.union(rest), "near")
+    discard(marks, easy, rest)
     return out
 
 
@@ -137,16 +145,18 @@ def repeated_lines(docs: DataFrame, shingle: int = 5) -> DataFrame:
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     keys = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")]
-    told = _lines(known).select("doc_id", "line_no", *keys, _phrases(F.col("line"), shingle).alias("phrases")).select("doc_id", "line_no", "k1", "k2", _prefix(F.col("phrases")).alias("prefix"))
-    classes = materialize(told.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix")), "classes")
-    release(spark)
-    every = _lines(known).select("doc_id", "line_no", *keys)
-    later = materialize(every.join(classes.select("k1", "k2", "first"), ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no"), "later")
+    told = _lines(known).select("doc_id", "line_no", *keys, _phrases(F.col("line"), shingle).alias("phrases"))
+    told = materialize(told.select("doc_id", "line_no", "k1", "k2", _prefix(F.col("phrases")).alias("prefix")), "lines")
+    place = F.struct("doc_id", "line_no")
+    firsts = told.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", "first")
+    later = materialize(told.select("k1", "k2", "doc_id", "line_no").join(firsts, ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "line_no"), "later")
     release(spark)
-    marks = classes.select("first.doc_id", "first.line_no", F.posexplode("prefix").alias("at", "phrase"))
-    twice = marks.groupBy("phrase").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    shared = materialize(marks.join(twice, "phrase"), "shared")
-    discard(classes)
+    marks = told.select("doc_id", "line_no", "k1", F.posexplode("prefix").alias("at", "phrase"))
+    # Only phrases of two different lines matter; equal lines count once.
+    twice = marks.groupBy("phrase").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count(F.lit(1)).alias("lines")).where("low <> high").select("phrase", "lines")
+    met = marks.drop("k1").join(twice, "phrase").join(later, ["doc_id", "line_no"], "left_anti")
+    shared = materialize(met, "shared")
+    discard(told)
     release(spark)
     asked = shared.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked"))
     pick = _with(F.split("text", "\n"), lambda lines: F.transform("asked", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
