@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that byte-level pre-tokenizers split by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct pieces that are remembered between batches.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 def _byte_names() -> dict[str, int]:
@@ -83,7 +83,7 @@ class Codec:
         known = self._fits.get(first << 32 | second)
         if known is not None:
             return known
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > 400_000:
             self._fits.clear()
         key, limit, answer = first << 32 | second, 1 << 40, None
         while answer is None:

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,11 +226,11 @@ def _hash_of(strings: np.ndarray | pd.Index, n: int) -> np.ndarray:
     return gram_hashes(chars)[n][n - 1 :: n]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 700_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` characters, one row at least; the text is the last column."""
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
-        upto = np.cumsum([0, *(len(t) if t else 0 for t in text.to_pylist())])
+        upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.utf8_length(text), 0).to_numpy().astype(np.int64))))
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
@@ -241,7 +242,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """lang, gram and n over all rows with lang and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _rows(batches, 4_000_000):
+        for part in _rows(batches):
             langs = np.array(part.column(0).to_pylist(), object)
             texts = part.column(1).to_pylist()
             for lang in sorted(set(langs)):
@@ -260,8 +261,12 @@ def distinct_grams(chars: np.ndarray, place: np.ndarray) -> tuple[list[str], np.
     bits and one sort of integers counts; alphabets too large for that are split
     by the n-grams' first character.
     """
-    alphabet, number = np.unique(chars, return_inverse=True)
-    number = number.astype(np.int64)
+    present = np.zeros(0x110000, bool)
+    present[chars] = True
+    alphabet = np.flatnonzero(present).astype(np.uint32)
+    index = np.zeros(0x110000, np.int32)
+    index[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    number = index[chars].astype(np.int64)
     if len(alphabet) > 6000:
         lead = number[place - ORDER + 1]
         parts = [distinct_grams_of(alphabet, number, place[lead == c], ORDER - 1) for c in np.unique(lead)]
