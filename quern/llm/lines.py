@@ -154,9 +154,11 @@ def repeated_lines(docs: DataFrame, shingle: int = 5) -> DataFrame:
     marks = told.select("doc_id", "line_no", "k1", F.posexplode("prefix").alias("at", "phrase"))
     # Only phrases of two different lines matter; equal lines count once.
     twice = marks.groupBy("phrase").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count(F.lit(1)).alias("lines")).where("low <> high").select("phrase", "lines")
-    met = marks.drop("k1").join(twice, "phrase").join(later, ["doc_id", "line_no"], "left_anti")
+    twice = materialize(twice, "twice")
+    release(spark)
+    met = marks.drop("k1").join(twice.hint("shuffle_hash"), "phrase").join(later, ["doc_id", "line_no"], "left_anti")
     shared = materialize(met, "shared")
-    discard(told)
+    discard(told, twice)
     release(spark)
     asked = shared.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked"))
     pick = _with(F.split("text", "\n"), lambda lines: F.transform("asked", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))

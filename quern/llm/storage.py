@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark deletes them when the JVM collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(*frames: DataFrame) -> None:
