@@ -12,24 +12,23 @@ from quern.functions import text as T
 from quern.operators.review import assertion
 
 
-def _anchor_at(view: Column, anchors: Sequence[str], before: Column) -> Column:
-    """struct(first, last) of the nearest chain of anchors, in order, wholly before a place; null without one. Offsets from 0."""
-    cursor, end = before, before
-    for k, anchor in enumerate(reversed(anchors)):
-        part = F.substring(view, F.lit(1), F.greatest(cursor, F.lit(0)))
-        place = F.locate(anchor[::-1], F.reverse(part))
-        at = F.when(place > 0, F.length(part) - place + 1 - len(anchor))
-        end = at + len(anchor) if k == 0 else end
-        cursor = at
-    return F.when(cursor.isNotNull(), F.struct(cursor.alias("first"), end.alias("last")))
-
-
-def _profile(view: Column, profiles: Sequence[tuple[str, tuple[str, ...]]], before: Column) -> Column:
-    """Array of (name, first) of the profiles whose anchors end at most GAP_MOST before a place."""
+def _anchor_at(lead: Column, anchors: Sequence[str]) -> Column:
+    """struct(first, last) of the last chain of anchors, in order, in a text; null without one. Offsets from 0."""
+    head, end, held = lead, None, F.lit(True)
+    for anchor in reversed(anchors):
+        held = held & F.contains(head, F.lit(anchor))
+        at = F.length(head) - F.length(F.substring_index(head, anchor, -1)) - len(anchor)
+        end = at + len(anchor) if end is None else end
+        head = F.left(head, at)
+    return F.when(held, F.struct(F.length(head).alias("first"), end.alias("last")))
+
+
+def _profile(lead: Column, profiles: Sequence[tuple[str, tuple[str, ...]]]) -> Column:
+    """Array of (name, first) of the profiles whose anchors end at most GAP_MOST before the text's end."""
     found = []
     for name, anchors in profiles:
-        at = _anchor_at(view, anchors, before)
-        found.append(F.when(at.isNotNull() & (before - at["last"] <= RU.GAP_MOST), F.struct(F.lit(name).alias("name"), at["first"].alias("first"))))
+        at = _anchor_at(lead, anchors)
+        found.append(F.when(F.length(lead) - at["last"] <= RU.GAP_MOST, F.struct(F.lit(name).alias("name"), at["first"].alias("first"))))
     return F.array_compact(F.array(*found))
 
 
@@ -45,12 +44,12 @@ def facts(clauses: DataFrame, text: str) -> DataFrame:
     v = F.col("__v")
     rows = rows.withColumn("__bare", F.regexp_count("__v", F.lit(RU.CONSISTENCY_NUMBER))).withColumn("__units", F.regexp_count("__v", F.lit(RU.CONSISTENCY_UNIT)))
     first = F.when(F.col("__units") > 0, F.length(F.get(F.split(v, RU.CONSISTENCY_UNIT, 2), F.lit(0)))).otherwise(F.length(F.get(F.split(v, RU.CONSISTENCY_NUMBER, 2), F.lit(0))))
-    rows = rows.withColumn("__at", F.when(F.col("__bare") > 0, first))
-    rows = rows.withColumn("__p", _profile(v, RU.PARAMETERS, F.col("__at")))
-    rows = rows.withColumn("__one", F.get("__p", F.lit(0))).withColumn("__o", _profile(v, RU.OBJECTS, F.col("__one.first")))
+    rows = rows.withColumn("__lead", F.left("__v", F.when(F.col("__bare") > 0, first)))
+    rows = rows.withColumn("__p", _profile(F.col("__lead"), RU.PARAMETERS))
+    rows = rows.withColumn("__one", F.get("__p", F.lit(0))).withColumn("__o", _profile(F.left("__v", F.col("__one.first")), RU.OBJECTS))
     holds = lambda profiles: F.lit(False) if not profiles else _any([_all_in(v, anchors) for _, anchors in profiles])
     anchored = holds(RU.OBJECTS) | holds(RU.PARAMETERS)
-    object_before = _any([_anchor_at(v, anchors, F.col("__at")).isNotNull() for _, anchors in RU.OBJECTS])
+    object_before = _any([_anchor_at(F.col("__lead"), anchors).isNotNull() for _, anchors in RU.OBJECTS])
     kind = assertion(v, RU.CONSISTENCY_ASSERTIONS)
     ranged = F.regexp_like("__v", F.lit(rf"{RU.NUMBER}\s*(?:[-~～至到])\s*{RU.NUMBER}")) | F.regexp_like("__v", F.lit(rf"{RU.NUMBER}\s*[×xX*]\s*{RU.NUMBER}"))
     reason = (
