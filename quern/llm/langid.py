@@ -68,7 +68,7 @@ def gram_hashes(chars: np.ndarray) -> list[np.ndarray]:
     factor = 1
     for n in range(1, ORDER + 1):
         shifted = np.zeros(len(c), np.uint64)
-        shifted[n - 1 :] = c[: len(c) - n + 1] if n > 1 else c
+        shifted[n - 1 :] = c[: max(0, len(c) - n + 1)]
         total = total + shifted * np.uint64(factor)
         factor = factor * _K & ((1 << 64) - 1)
         out.append(mix(total + np.uint64(n * 0xD6E8FEB86659FD93 & ((1 << 64) - 1))))

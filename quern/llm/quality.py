@@ -60,7 +60,8 @@ def count_chunk(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[
     np.add.at(cover, starts + window, -1)
     out["n_repeat_words"] = _row_sums(np.cumsum(cover[:-1]) > 0, words.first)
     breaks = np.flatnonzero(data == 10)
-    starts = np.sort(np.concatenate((offsets[:-1][np.diff(offsets) > 0], breaks + 1)))
+    inner = breaks[breaks + 1 < offsets[np.searchsorted(offsets, breaks, "right")]] + 1
+    starts = np.sort(np.concatenate((offsets[:-1][np.diff(offsets) > 0], inner)))
     row = np.searchsorted(offsets, starts, "right") - 1
     keep = (row < n) & (starts < len(data))
     starts, row = starts[keep], row[keep]
