@@ -97,6 +97,10 @@ FEATURES = {
 STRATUM = "case when n_words < 50 then 'short' when n_words < 500 then 'middle' else 'long' end"
 
 
+#: Least share of the bad documents of a stratum that a cutoff must reject.
+USEFUL = 0.02
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
     if p <= 0 or k >= n:
         return 1.0
@@ -118,12 +122,15 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def fit_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.97, 0.98, 0.99, 0.995, 1.0), sample: int = 100_000) -> dict[tuple[str, str], float]:
+def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.99, 0.995, 0.998, 0.999, 1.0), sample: int = 100_000) -> dict[tuple[str, str], float]:
     """(stratum, feature) -> accepted cutoff, from rows with stratum, quality and FEATURES.
 
-    At most ``sample`` labelled rows (a documented bound, chosen by hash) are
-    used. Cutoffs above which no labelled bad document lies are not accepted:
-    they would add risk and no use. Returns nothing for strata without labels.
+    With ``confidence``, the accepted cutoffs of a stratum together reject at most
+    ``risk`` of its good documents: each feature may use an equal part. At most
+    ``sample`` labelled rows (a documented bound, chosen by hash) are used.
+    Cutoffs that would reject under USEFUL of the labelled bad documents are not
+    accepted: they would add risk and little use. Returns nothing for strata
+    without labels.
     """
     tests = 3 * len(FEATURES) * len(quantiles)
     rows = labelled.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
@@ -138,7 +145,8 @@ def fit_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.9
             for q in quantiles:
                 cutoff = float(np.quantile(propose[feature], q, method="higher"))
                 wrong = int((prove[feature] > cutoff).sum())
-                if (bad[feature] > cutoff).any() and upper_bound(wrong, len(prove), (1 - confidence) / tests) <= risk:
+                useful = (bad[feature] > cutoff).mean() >= USEFUL if len(bad) else False
+                if useful and upper_bound(wrong, len(prove), (1 - confidence) / tests) <= risk / len(FEATURES):
                     out[stratum, feature] = cutoff
                     break
     return out
@@ -150,7 +158,7 @@ def hash_half(doc_id: int) -> int:
     return (x >> 40) & 1
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.01, confidence: float = 0.95) -> DataFrame:
     """Counts, base_failed, rule (the first accepted cutoff broken, else null) and kept for every row of ``docs``.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); documents with repeated or

@@ -410,7 +410,7 @@ def test_quality_cutoffs_keep_their_risk(spark):
     cut = quality.fit_cutoffs(df)
     assert set(cut) == {("long", "symbol_rate")}
     wrong = sum(r > cut["long", "symbol_rate"] for r in rate[:n]) / n
-    assert wrong <= 0.02
+    assert wrong <= 0.01
     assert quality.fit_cutoffs(df.limit(40)) == {}
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-6
 
