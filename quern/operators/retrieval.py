@@ -44,20 +44,30 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> Dat
     """query_id, key and score of all documents that share a token with a query.
 
     ``docs`` has key and tokens (array of distinct tokens, weight 1); ``queries``
-    has query_id and tokens. Only tokens of queries are exploded past the join.
+    has query_id and tokens. Only tokens of queries leave a document's row.
     """
-    sized = docs.select(key, "tokens", F.size("tokens").alias("length"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = stats["n"], max(stats["mean"] or 1.0, 1.0)
     asked = queries.select("query_id", F.explode("tokens").alias("token"))
-    hits = sized.select(key, "length", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token")
+    matched = held_tokens(docs, queries, key)
+    n = matched.agg(F.count(F.lit(1)).alias("n")).scalar()
+    mean = matched.agg(F.greatest(F.coalesce(F.avg("length"), F.lit(1.0)), F.lit(1.0)).alias("m")).scalar()
+    hits = matched.select(key, "length", F.explode("held").alias("token"))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / mean))
     weighted = asked.join(df.select("token", idf.alias("idf")), "token")
     return hits.join(weighted, "token").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
+def held_tokens(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, length (number of tokens) and held (the tokens that any query has): texts are read once, and this small table is what statistics and scores share.
+
+    The words of the stated query set become a literal of the plan.
+    """
+    words = sorted(r[0] for r in queries.select(F.explode("tokens")).distinct().collect())
+    wanted = F.array(*map(F.lit, words)).cast("array<string>")
+    return docs.select(key, F.size("tokens").alias("length"), F.array_intersect("tokens", wanted).alias("held")).repartition(key)
+
+
 def exact_boost(query: Mapping[str, Column], text: Column, text_tokens: Column, number: Column, code: Column) -> Column:
     """Boost for whole phrases, the exact number, the code named in the query, and the share of query tokens held.
 
@@ -114,13 +124,13 @@ def acceptance(coverage: Column, strong: Column, phrase: Column, has_hit: Column
     return F.when(~has_hit, "NO_MATCH").when(accept, "ACCEPT").when(coverage >= LOW_CONFIDENCE, "LOW_CONFIDENCE").otherwise("NO_MATCH")
 
 
-def coverage(queries: DataFrame, top: DataFrame, df: DataFrame, n: int) -> DataFrame:
+def coverage(queries: DataFrame, top: DataFrame, df: DataFrame, n: Column) -> DataFrame:
     """query_id and coverage: sum of idf of query tokens in the best hit over the sum of all.
 
     ``queries``: query_id, token; ``top``: query_id, token of the best hit; ``df``:
     token, df. Its idf, ln(1 + (n + 0.5) / (df + 0.5)), is not that of BM25.
     """
-    idf = F.log(1 + (F.lit(n) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
+    idf = F.log(1 + (n + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
     held = top.select("query_id", "token").distinct().withColumn("held", F.lit(True))
     rows = queries.join(df, "token", "left").join(held, ["query_id", "token"], "left")
     share = F.sum(F.when(F.col("held"), idf).otherwise(0.0)) / F.sum(idf)

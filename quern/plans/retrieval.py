@@ -136,7 +136,8 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
     scores = R.bm25_scores(docs, asked).withColumn("keyword_score", F.round("score", 6)).drop("score")
     pool = R.top_ranks(scores, [F.desc("keyword_score"), F.asc("doc_id")], 4 * TOP).drop("rank")
-    rows = pool.join(docs, "doc_id").join(asked.select("query_id", "query", F.col("tokens").alias("qt")), "query_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = pool.join(texts, "doc_id").withColumn("tokens", T.ascii_tokens(F.col("text"))).join(asked.select("query_id", "query", F.col("tokens").alias("qt")), "query_id")
     phrases = F.size(F.filter(_phrases(F.col("query")), lambda p: F.contains(F.col("text"), p)))
     overlap = F.size(F.array_intersect("qt", "tokens")) / F.size("qt")
     score = R.rerank_score(F.lit(None).cast("double"), phrases, F.lit(False), overlap, F.contains(F.col("query"), F.col("source")))
@@ -159,9 +160,11 @@ def acceptance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = R.bm25_scores(docs, asked).withColumn("score", F.round("score", 6))
     best = R.top_ranks(scores, [F.desc("score"), F.asc("doc_id")], 1).select("query_id", "doc_id")
     words = asked.select("query_id", F.explode("tokens").alias("token"))
-    df = docs.select(F.explode("tokens").alias("token")).join(words.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    top = docs.join(best, "doc_id").select("query_id", F.explode("tokens").alias("token"))
-    cover = R.coverage(words, top, df, docs.count()).join(best, "query_id", "left")
+    held = R.held_tokens(docs, asked)
+    df = held.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    top = texts.join(best, "doc_id").select("query_id", F.explode(T.ascii_tokens(F.col("text"))).alias("token"))
+    cover = R.coverage(words, top, df, held.agg(F.count(F.lit(1)).alias("n")).scalar()).join(best, "query_id", "left")
     decision = R.acceptance(F.col("coverage"), F.lit(False), F.lit(False), F.col("doc_id").isNotNull())
     return cover.select("query_id", "doc_id", "coverage", decision.alias("decision"))
 
