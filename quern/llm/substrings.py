@@ -194,7 +194,8 @@ def occurrences(parts: DataFrame, found: DataFrame, size: int) -> DataFrame:
     total = found.agg(F.sum("n")).first()[0] or 0
     shards = 1 + total // SHARD_WORDS
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard")
-    hot = parts.groupBy("owner").count().where(F.col("count") > SALT_ROWS).select("owner", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
+    # A table of its own, so that the joins with it can be split at hot owners.
+    hot = materialize(parts.groupBy("owner").count().where(F.col("count") > SALT_ROWS).select("owner", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts")), "hot")
     salted = lambda df: df.join(hot, "owner", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     laid = salted(found).select(shard, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "start", "text")
     sent = salted(parts).select(shard, F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "start", "text")
