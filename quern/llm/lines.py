@@ -149,7 +149,10 @@ def repeated_lines(docs: DataFrame, shingle: int = 5) -> DataFrame:
     told = materialize(told.select("doc_id", "line_no", "k1", "k2", _prefix(F.col("phrases")).alias("prefix")), "lines")
     place = F.struct("doc_id", "line_no")
     firsts = told.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", "first")
+    # A table of its own, so that the join with it can be split at lines that are very common.
+    firsts = materialize(firsts, "firsts")
     later = materialize(told.select("k1", "k2", "doc_id", "line_no").join(firsts, ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "line_no"), "later")
+    discard(firsts)
     release(spark)
     marks = told.select("doc_id", "line_no", "k1", F.posexplode("prefix").alias("at", "phrase"))
     # Only phrases of two different lines matter; equal lines count once.
