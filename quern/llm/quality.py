@@ -122,7 +122,7 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.99, 0.995, 0.998, 0.999, 1.0), sample: int = 100_000) -> dict[tuple[str, str], float]:
+def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.99, 0.995, 0.998, 0.999, 1.0), sample: int = 20_000) -> dict[tuple[str, str], float]:
     """(stratum, feature) -> accepted cutoff, from rows with stratum, quality and FEATURES.
 
     With ``confidence``, the accepted cutoffs of a stratum together reject at most
