@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, materialize, release
 from .wordhash import Words, byte_chunks, span_hashes
 
 PHRASE = 6
@@ -229,10 +229,19 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = materialize(prints.join(firsts, "print").where("doc_id > first").select("doc_id").distinct(), "copies")
     rows = materialize(phrase_rows(known, size), "phrases")
+    # Each step lets go of its shuffle files before the next one writes its own.
+    spark = docs.sparkSession
+    release(spark)
     owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
+    owners = materialize(owners, "owners")
+    release(spark)
     kept = rows.join(owners, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "owner")).alias("kept")).join(copies, "doc_id", "left_anti")
+    kept = materialize(kept, "kept")
+    discard(rows, prints, owners)
+    release(spark)
     parts = materialize(segments(known.join(kept, "doc_id"), size), "segments")
-    discard(rows, prints)
+    discard(kept)
+    release(spark)
     found = materialize(passages(parts, confirmed(parts, size), size), "passages")
     ranges = occurrences(parts, found, size)
     whole = copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("ranges"))
