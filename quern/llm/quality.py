@@ -126,14 +126,16 @@ def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.9
     """(stratum, feature) -> accepted cutoff, from rows with stratum, quality and FEATURES.
 
     With ``confidence``, the accepted cutoffs of a stratum together reject at most
-    ``risk`` of its good documents: each feature may use an equal part. At most
-    ``sample`` labelled rows (a documented bound, chosen by hash) are used.
+    ``risk`` of its good documents: each feature may use an equal part. About
+    ``sample`` labelled rows at most (a documented bound, chosen by hash) are used.
     Cutoffs that would reject under USEFUL of the labelled bad documents are not
     accepted: they would add risk and little use. Returns nothing for strata
     without labels.
     """
     tests = 3 * len(FEATURES) * len(quantiles)
-    rows = labelled.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    marked = labelled.where("quality is not null")
+    share = min(1.0, sample / max(1, marked.count()))
+    rows = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).toPandas()
     rows = rows.assign(half=[hash_half(d) for d in rows["doc_id"]])
     out: dict[tuple[str, str], float] = {}
     for stratum, part in rows.groupby("stratum"):
