@@ -227,6 +227,8 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     prints = materialize(known.select("doc_id", F.md5("text").alias("print")), "prints")
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # A table of its own, so that the join with it can be split at texts with very many copies.
+    firsts = materialize(firsts, "firsts")
     copies = materialize(prints.join(firsts, "print").where("doc_id > first").select("doc_id").distinct(), "copies")
     rows = materialize(phrase_rows(known, size), "phrases")
     # Each step lets go of its shuffle files before the next one writes its own.
@@ -237,7 +239,7 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     release(spark)
     kept = rows.join(owners, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "owner")).alias("kept")).join(copies, "doc_id", "left_anti")
     kept = materialize(kept, "kept")
-    discard(rows, prints, owners)
+    discard(rows, prints, firsts, owners)
     release(spark)
     parts = materialize(segments(known.join(kept, "doc_id"), size), "segments")
     discard(kept)
