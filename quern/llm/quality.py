@@ -17,10 +17,10 @@ from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 from .wordhash import Words, byte_chunks, span_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -102,13 +102,22 @@ USEFUL = 0.02
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
+    """Sums from k down and stops where terms no longer count, so its time does not follow k."""
     if p <= 0 or k >= n:
         return 1.0
     if p >= 1:
         return 0.0
-    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
+    first = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p)
+    term = total = 1.0
+    for i in range(k, 0, -1):
+        step = i * (1 - p) / ((n - i + 1) * p)
+        term *= step
+        total += term
+        if term > 1e200:
+            term, total, first = term * 1e-200, total * 1e-200, first + 200 * log(10)
+        if step < 1 and term < 1e-17 * total * (1 - step):
+            break
+    return min(1.0, exp(min(0.0, first + log(total))))
 
 
 def upper_bound(k: int, n: int, alpha: float) -> float:
@@ -122,42 +131,76 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.99, 0.995, 0.998, 0.999, 1.0), sample: int = 20_000) -> dict[tuple[str, str], float]:
-    """(stratum, feature) -> accepted cutoff, from rows with stratum, quality and FEATURES.
+def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.99, 0.995, 0.998, 0.999, 1.0)) -> dict[tuple[str, str], float]:
+    """(stratum, feature) -> accepted cutoff, from all rows with doc_id, stratum, quality and FEATURES.
 
     With ``confidence``, the accepted cutoffs of a stratum together reject at most
-    ``risk`` of its good documents: each feature may use an equal part. About
-    ``sample`` labelled rows at most (a documented bound, chosen by hash) are used.
-    Cutoffs that would reject under USEFUL of the labelled bad documents are not
-    accepted: they would add risk and little use. Returns nothing for strata
-    without labels.
+    ``risk`` of its good documents: each feature may use an equal part. Quantiles
+    and error counts are exact; the driver gets them only, a few for each
+    stratum, feature and candidate. Cutoffs that would reject under USEFUL of the
+    labelled bad documents are not accepted: they would add risk and little use.
+    Returns nothing for strata without labels.
     """
     tests = 3 * len(FEATURES) * len(quantiles)
-    marked = labelled.where("quality is not null")
-    share = min(1.0, sample / max(1, marked.count()))
-    rows = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).toPandas()
-    rows = rows.assign(half=[hash_half(d) for d in rows["doc_id"]])
+    role = F.when(F.col("quality") == 0, "bad").when(hash_half(F.col("doc_id")) == 0, "propose").otherwise("prove")
+    values = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES)))
+    long = labelled.where("quality in (0, 1)").select("stratum", role.alias("role"), values.alias("x")).select(F.concat_ws(":", "stratum", "x.feature").alias("rule"), "role", "x.value")
+    counts = materialize(long.groupBy("rule", "role", "value").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    found = _quantiles(counts.where("role = 'propose'"), quantiles)
+    above = [
+        F.sum(F.when((F.col("role") == r) & (F.col("value") > F.create_map(*(F.lit(x) for rule, c in found.items() for x in (rule, c[k])))[F.col("rule")]), F.col("n")).otherwise(0)).alias(f"{r}{k}")
+        for k in range(len(quantiles)) for r in ("prove", "bad")
+    ] if found else []
+    of = [F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(r) for r in ("prove", "bad")]
+    rows = counts.where(F.col("rule").isin(list(found))).groupBy("rule").agg(*of, *above).collect() if found else []
+    discard(counts)
     out: dict[tuple[str, str], float] = {}
-    for stratum, part in rows.groupby("stratum"):
-        good, bad = part[part["quality"] == 1], part[part["quality"] == 0]
-        propose, prove = good[good["half"] == 0], good[good["half"] == 1]
-        if propose.empty:
-            continue
-        for feature in FEATURES:
-            for q in quantiles:
-                cutoff = float(np.quantile(propose[feature], q, method="higher"))
-                wrong = int((prove[feature] > cutoff).sum())
-                useful = (bad[feature] > cutoff).mean() >= USEFUL if len(bad) else False
-                if useful and upper_bound(wrong, len(prove), (1 - confidence) / tests) <= risk / len(FEATURES):
-                    out[stratum, feature] = cutoff
-                    break
+    for row in rows:
+        stratum, feature = row["rule"].split(":")
+        for k, cutoff in enumerate(found[row["rule"]]):
+            useful = row["bad"] > 0 and row[f"bad{k}"] / row["bad"] >= USEFUL
+            if useful and upper_bound(row[f"prove{k}"], row["prove"], (1 - confidence) / tests) <= risk / len(FEATURES):
+                out[stratum, feature] = cutoff
+                break
     return out
 
 
-def hash_half(doc_id: int) -> int:
-    """0 or 1, as good as random and the same in every run."""
-    x = (int(doc_id) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
-    return (x >> 40) & 1
+def _quantiles(counts: DataFrame, quantiles: tuple[float, ...]) -> dict[str, list[float]]:
+    """rule -> the exact quantiles (the higher neighbour) of its values, from rule, value (0 or more) and n.
+
+    Ranks go to bins by prefix sums over the bins of a rule (256 for each doubling
+    of 1 + value, so their number has a bound), then to values within those bins only.
+    """
+    bin_ = F.floor(F.log2(1 + F.col("value")) * 256)
+    sums = counts.groupBy("rule", bin_.alias("bin")).agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("rule", "bin", "n", F.sum("n").over(along).alias("upto"), F.sum("n").over(Window.partitionBy("rule")).alias("total"))
+    ranks = sums.select("*", F.posexplode(F.array(*(F.lit(q) for q in quantiles))).alias("k", "q")).withColumn("rank", F.ceil(F.col("q") * (F.col("total") - 1)))
+    aims = ranks.where("upto - n <= rank and rank < upto").select("rule", "bin", "k", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")).collect()
+    if not aims:
+        return {}
+    key = F.concat_ws(":", "rule", bin_.cast("string"))
+    wanted: dict[str, list] = {}
+    for a in aims:
+        wanted.setdefault(f"{a['rule']}:{a['bin']}", []).append(a)
+    inside = counts.select("rule", "value", "n", key.alias("key")).where(F.col("key").isin(list(wanted)))
+    running = F.sum("n").over(Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("upto", running)
+    hit = [(F.col("key") == name) & (F.col("upto") > int(a["rank"])) & (F.col("upto") - F.col("n") <= int(a["rank"])) for name, of in wanted.items() for a in of]
+    rows = inside.where(reduce(lambda a, b: a | b, hit)).collect()
+    out: dict[str, list[float]] = {}
+    for a in aims:
+        value = next(r["value"] for r in rows if r["key"] == f"{a['rule']}:{a['bin']}" and r["upto"] - r["n"] <= a["rank"] < r["upto"])
+        out.setdefault(a["rule"], [0.0] * len(quantiles))[a["k"]] = value
+    return out
+
+
+def hash_half(doc_id: Column) -> Column:
+    """0 or 1, as good as random and the same in every run: bit 40 of doc_id times an odd constant, in steps that fit in a long."""
+    d, k = doc_id.cast("long").bitwiseAND(F.lit((1 << 41) - 1)), 0x9E3779B97F4A7C15
+    high = (F.shiftright(d, 21) * F.lit(k & ((1 << 20) - 1))).bitwiseAND(F.lit((1 << 20) - 1))
+    low = d.bitwiseAND(F.lit((1 << 21) - 1)) * F.lit(k & ((1 << 41) - 1))
+    return F.shiftright(F.shiftleft(high, 21) + low, 40).bitwiseAND(F.lit(1))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.01, confidence: float = 0.95) -> DataFrame:

@@ -415,6 +415,23 @@ def test_quality_cutoffs_keep_their_risk(spark):
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-6
 
 
+def test_quality_cutoffs_use_all_labels(spark):
+    """With long texts a fifth of the labels, 20,000 rows are too few to prove a cutoff of theirs; the quantiles are exact."""
+    n = 60_000
+    mixed = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.expr("case id % 5 when 0 then 'long' when 1 then 'short' else 'middle' end").alias("stratum"), F.expr("cast(id % 50 >= 5 as int)").alias("quality"),
+        F.expr("case when id % 50 < 5 then 500.0D + id % 7 else (id * 7919 % 60013) / 6001.0D end").alias("symbol_rate"), *(F.lit(0.0).alias(f) for f in ("dup_line_rate", "repeat_rate", "word_length")),
+    )
+    cut = quality.fit_cutoffs(mixed)
+    assert set(cut) == {(s, "symbol_rate") for s in ("long", "short", "middle")}
+    rows = mixed.toPandas()
+    half = [((d * 0x9E3779B97F4A7C15) >> 40) & 1 for d in range(n)]
+    for (stratum, feature), value in cut.items():
+        good = rows[(rows.stratum == stratum) & (rows.quality == 1) & (np.array(half) == 0)][feature]
+        assert value in {float(np.quantile(good, q, method="higher")) for q in (0.99, 0.995, 0.998, 0.999, 1.0)}
+    assert abs(quality.binomial_cdf(25_000, 10_000_000, 0.0025) - 0.5) < 0.01
+
+
 def test_quality_edges(spark, odd, empty, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = quality.quality_filter(odd, labels).collect()
