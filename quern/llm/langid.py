@@ -1,13 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Text is lower-cased, every run of non-letters becomes one space. 5-gram counts of
-all training rows are made in the tasks and summed by a shuffle; per language the
-most frequent ones (``max_grams``, a documented bound on the model) reach the
-driver, which derives continuation counts, discounts and the interpolated
-probabilities of all orders. Each order is a sorted array of n-gram hashes with
-one row of log probabilities per n-gram, found through an index of the leading
-hash bits; n-grams without a row back off. A document's language is the one with
-the lowest cross-entropy per character.
+all training rows are made in the tasks and summed by a shuffle. Continuation
+counts, discounts and the interpolated probabilities of all orders are Spark
+tables made from all counts; the driver sees no n-gram, only how many of each
+order and language occur once and twice. The tables lie in the shared folder,
+where each Python worker reads them once. There each order is a sorted array of
+n-gram hashes with one row of log probabilities per n-gram, found through an
+index of the leading hash bits; n-grams without a row back off. A document's
+language is the one with the lowest cross-entropy per character.
 
 Training rows that counts did not use calibrate two things: the score (share of
 right answers at such a lead over the second language) and the rejection limit
@@ -25,6 +26,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +120,12 @@ class Hashed:
         return at
 
 
+_arrays: dict[str, tuple[list[Hashed], list[Hashed]]] = {}
+
+
 @dataclass
 class Model:
-    """languages; per order the log probabilities of n-grams and log back-off weights of contexts; limits and scores when calibrated."""
+    """languages; per order the log probabilities of n-grams and log back-off weights of contexts, or the tables that hold them; limits and scores when calibrated."""
 
     languages: list[str]
     grams: list[Hashed]
@@ -127,6 +133,26 @@ class Model:
     unseen: float
     limits: dict[tuple[str, int], float] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    tables: list[tuple[str, str]] = field(default_factory=list)
+
+    def loaded(self) -> Model:
+        """The model with its arrays; a process keeps those of one model."""
+        if self.tables:
+            key = self.tables[0][0]
+            if key not in _arrays:
+                _arrays.clear()
+                none = self._read("")
+                _arrays[key] = [none, *(self._read(g) for g, _ in self.tables)], [none, *(self._read(c) for _, c in self.tables)]
+            self.grams, self.contexts = _arrays[key]
+        return self
+
+    def _read(self, uri: str) -> Hashed:
+        if not uri:
+            return Hashed.of(np.zeros(0, np.uint64), np.zeros((0, len(self.languages)), np.float32))
+        store, path = FileSystem.from_uri(uri)
+        table = pq.read_table(path, columns=["hash", "row"], filesystem=store)
+        rows = table["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return Hashed.of(table["hash"].to_numpy().view(np.uint64), rows.reshape(-1, len(self.languages)))
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(nats per character for each text and language, number of letters)."""
@@ -185,7 +211,7 @@ def length_bin(letters: np.ndarray) -> list[int]:
 
 
 def estimate(counts: pd.DataFrame) -> Model:
-    """The model of a table with lang, gram (ORDER characters) and n; every pair of lang and gram once."""
+    """The model of a local table with lang, gram (ORDER characters) and n; every pair of lang and gram once. build() makes the same in Spark."""
     languages = sorted(counts["lang"].unique())
     if not languages:
         return Model([], [], [], 0.0)
@@ -226,7 +252,7 @@ def _hash_of(strings: np.ndarray | pd.Index, n: int) -> np.ndarray:
     return gram_hashes(chars)[n][n - 1 :: n]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], most: int = 700_000) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` characters, one row at least; the text is the last column."""
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
@@ -291,26 +317,68 @@ def distinct_grams_of(alphabet: np.ndarray, number: np.ndarray, place: np.ndarra
     return [text[i : i + order] for i in range(0, len(text), order)], n.astype(np.int64)
 
 
-def _bounded(counts: DataFrame, max_grams: int) -> pd.DataFrame:
-    """The most frequent n-grams of each language, at most max_grams; a level of counts that does not fit whole is left out."""
-    level = F.floor(F.log2("n") * 8)
-    held = materialize(counts.withColumn("level", level), "grams")
-    sizes = held.groupBy("lang", "level").count().toPandas().sort_values(["lang", "level"], ascending=[True, False])
-    sizes["upto"] = sizes.groupby("lang")["count"].cumsum()
-    fits = sizes[sizes["upto"] <= max_grams].groupby("lang")["level"].min()
-    keep = F.lit(False)
-    for lang, least in fits.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("level") >= int(least)))
-    table = held.where(keep).select("lang", "gram", "n").toPandas()
-    discard(held)
-    return table
+def build(counts: DataFrame) -> Model:
+    """The model of a table with lang, gram (ORDER characters) and n, all of it, as tables of hash and row by order."""
+    counts = materialize(counts, "grams")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not languages:
+        discard(counts)
+        return Model([], [], [], 0.0)
+    each = range(len(languages))
+    values = {ORDER: counts.groupBy("gram").agg(F.array(*(F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)) for name in languages)).alias("c"))}
+    kinds = F.array(*(F.sum((F.col("c")[k] > 0).cast("long")) for k in each))
+    for n in range(ORDER, 0, -1):
+        values[n] = materialize(values[n], f"counts{n}")
+        values[n - 1] = values[n].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(kinds.alias("c"))
+    once = [F.array(*(F.sum((F.col("c")[k] == times).cast("long")) for k in each)).alias(f"n{times}") for times in (1, 2)]
+    seen = {n: values[n].agg(F.count(F.lit(1)).alias("n"), *once).first() for n in range(1, ORDER + 1)}
+    unseen = 1.0 / (seen[1]["n"] + 1)
+    below = F.array(*(F.lit(unseen) for _ in each))
+    lower, tables, made = None, [], [counts]
+    for n in range(1, ORDER + 1):
+        discount = [ones / (ones + 2.0 * twos) if ones else 0.5 for ones, twos in zip(seen[n]["n1"], seen[n]["n2"], strict=True)]
+        total = F.array(*(F.sum(F.col("c")[k]) for k in each))
+        sums = values[n].groupBy(F.expr(f"substring(gram, 1, {n - 1})").alias("context")).agg(total.alias("total"), kinds.alias("kinds"))
+        weight = F.array(*(F.when(F.col("total")[k] > 0, F.greatest(F.lit(discount[k]) * F.col("kinds")[k] / F.col("total")[k], F.lit(1e-6))).otherwise(1.0) for k in each))
+        sums = sums.select("context", "total", weight.alias("weight"))
+        contexts = materialize(_hashed(sums.select("*", _logs("weight", each)), n - 1), f"contexts{n}")
+        rows = values[n].withColumn("context", F.expr(f"substring(gram, 1, {n - 1})")).join(contexts.select("context", "total", "weight"), "context")
+        rows = rows.withColumn("below", below) if lower is None else rows.withColumn("rest", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("below")), "rest")
+        chance = F.array(*(F.greatest(F.col("c")[k] - discount[k], F.lit(0.0)) / F.greatest(F.col("total")[k], F.lit(1)) + F.col("weight")[k] * F.col("below")[k] for k in each))
+        lower = materialize(_hashed(rows.select("gram", chance.alias("p")).select("*", _logs("p", each)), n), f"grams{n}")
+        tables.append((_uri(lower), _uri(contexts)))
+        made.append(values[n])
+    discard(*made)
+    return Model(languages, [], [], float(np.log(unseen)), tables=tables)
+
+
+def _logs(column: str, each: range) -> Column:
+    return F.array(*(F.log(F.col(column)[k]).cast("float") for k in each)).alias("row")
+
+
+def _hashed(df: DataFrame, n: int) -> DataFrame:
+    """The hash of the first column, strings of n characters, before the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes = _hash_of(np.array(batch.column(0).to_pylist(), object), n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), *batch.columns], ["hash", *batch.schema.names])
+
+    return df.mapInArrow(run, "hash long, " + ", ".join(f"{c} {t}" for c, t in df.dtypes))
+
+
+def _uri(df: DataFrame) -> str:
+    """Where materialize wrote df, with its file system named."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quern_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().replace("s3a:", "s3:")
 
 
 def _judge(docs: DataFrame, model: Broadcast) -> DataFrame:
     """doc_id, its other columns before text, and the model's judgement of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = pickle.loads(model.value)
+        at = pickle.loads(model.value).loaded()
         for part in _rows(batches):
             said = at.judge([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
             own = [part.column(i) for i in range(part.num_columns - 1)]
@@ -326,13 +394,13 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(0))
 
 
-def train(labelled: DataFrame, max_grams: int = 1 << 16) -> Model:
+def train(labelled: DataFrame) -> Model:
     """Counts on the rows of folds 0 and 1, calibration on those of fold 3; fold 2 is never read.
 
     Without fold 3, limits stay infinite and the score is 1. Rows with a null
-    lang or text teach nothing. max_grams bounds the model of each language.
+    lang or text teach nothing. Every n-gram counts.
     """
-    model = estimate(_bounded(count_grams(labelled.where(fold(F.col("doc_id")) < 2)), max_grams))
+    model = build(count_grams(labelled.where(fold(F.col("doc_id")) < 2)))
     if not model.languages:
         return model
     shipped = labelled.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -379,7 +447,7 @@ def _monotone(bins: pd.DataFrame) -> np.ndarray:
     return np.concatenate([np.full(int(k), min(1.0, r / n)) for r, n, k in blocks])
 
 
-def identify(docs: DataFrame, max_grams: int = 1 << 16) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """Train on ``docs`` (doc_id, text, lang) and judge all its rows.
 
     doc_id, held_out (fold 2), lang_pred (a learned lang, or ``und`` for a null
@@ -387,17 +455,17 @@ def identify(docs: DataFrame, max_grams: int = 1 << 16) -> DataFrame:
     every row. Repeated rows come back as often, other columns are ignored, an
     empty table gives an empty result; where no row has a lang all are ``und``.
     """
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, max_grams)))
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs)))
     judged = _judge(docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id")) == 2).alias("held_out"), "text"), model)
     return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy", "letters")
 
 
-def accepted(docs: DataFrame, max_grams: int = 1 << 16) -> DataFrame:
+def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns.
 
     A text is judged where it stands: no join, so repeated and null doc_ids are no matter.
     """
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, max_grams)))
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs)))
     names = [f"__{i}" for i in range(len(docs.columns))]
     judged = _judge(docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("text").alias("__text")), model)
     return judged.where("not rejected").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

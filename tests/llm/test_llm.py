@@ -101,6 +101,19 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
         assert abs(sum(chance(context, c) for c in "ab ?") - 1) < 1e-3
 
 
+def test_language_model_keeps_every_gram(spark):
+    """Two languages of over 65,536 distinct 5-grams each, nearly all seen once: judged as by a model of all counts."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 1000)), ("aa", "bb")[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.count_grams(docs.where(langid.fold(F.col("doc_id")) < 2)).toPandas()
+    assert counts.groupby("lang").size().min() > 65_536
+    want = langid.estimate(counts).judge([r[1] for r in rows])
+    got = langid.identify(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert list(got.lang_pred) == list(want.lang_pred)
+    assert np.allclose(got.entropy, want.entropy, atol=1e-4)
+
+
 def test_language_edges(odd, empty):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
