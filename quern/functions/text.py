@@ -140,10 +140,31 @@ def iso_date(text: Column) -> Column:
 CODE = r"(?i)((?:GB|JGJ|CJJ|JTG|DBJ?)(?: ?/ ?T)?|T ?/ ?CECS) ?([0-9]+(?:\.[0-9]+)*) ?[-—–] ?([0-9]{4})"
 
 
+#: All families that citations name, whole codes with a year first.
+CITED = (
+    r"(?iU)(?:(?:GB|JGJ|CJJ|JTG|DBJ?)(?:\s?/\s?T)?|T\s?/\s?CECS)\s?\d+(?:\.\d+)*\s?[-—–]\s?\d{4}(?!\d)"
+    r"|(?:(?:GB|JGJ|CJJ|JTG|TB|JT)(?:/T)?|DL/T|DBJ|DB\d*(?:/T)?|(?:T\s?/\s?)?CECS)\s*[A-Z]*\s*\d[\d.\-—–/]*\d"
+    r"|T\s*/\s*[A-Z0-9]+(?:\s*[-./]\s*[A-Z0-9]+)+|[A-Z]{2,}[A-Z0-9]*\s*-\s*[A-Z]{2,}[A-Z0-9]*(?:\s*-\s*[A-Z0-9]+)+"
+)
+
+
+def is_standard_code(code: Column) -> Column:
+    """Whether a code in capitals without spaces is of a standard's family, and neither too short, too long, nor a UUID."""
+    family = F.regexp_like(code, F.lit(r"^(?:GB|JGJ|CJJ|JTG|TB|JT|DL/T|DBJ|DB[0-9]*|CECS|T/)|^[A-Z]{2,}[A-Z0-9]*-[A-Z]{2,}[A-Z0-9]*(?:-[A-Z0-9]+)+$"))
+    uuid = F.regexp_like(code, F.lit("^[0-9A-F]{8}(?:-[0-9A-F]{4}){3}-[0-9A-F]{12}$"))
+    return F.length(code).between(5, 48) & F.regexp_like(code, F.lit("[0-9]")) & family & ~uuid
+
+
+def standard_codes(text: Column) -> Column:
+    """All standard codes in order as PREFIXnumber-year in capitals without spaces; null where a match of CITED is no such code."""
+    found = F.regexp_extract_all(text, F.lit(CITED), F.lit(0))
+    plain = F.transform(found, lambda m: F.upper(F.regexp_replace(F.regexp_replace(m, r"(?U)\s+", ""), "[—–]", "-")))
+    return F.transform(plain, lambda c: F.when(is_standard_code(c), c))
+
+
 def standard_code(text: Column) -> Column:
     """The first standard code as PREFIXnumber-year in capitals without spaces; null without one."""
-    part = [F.regexp_extract(text, CODE, g) for g in (1, 2, 3)]
-    return F.when(part[1] != "", F.concat(F.upper(F.regexp_replace(part[0], " ", "")), part[1], F.lit("-"), part[2]))
+    return F.get(F.array_compact(standard_codes(text)), F.lit(0))
 
 
 def masked(text: Column, pattern: str) -> Column:

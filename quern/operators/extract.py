@@ -15,6 +15,8 @@ LABELS = (
     ("supervisor", "监理单位", 20), ("contractor", "施工单位|总包单位", 20), ("planned_start", "计划开工(?:日期|时间)|开工日期", 20), ("planned_end", "计划(?:竣工|完工)(?:日期|时间)|竣工日期", 20),
 )
 MOBILE = "1[3-9][0-9]{9}"
+#: Headings of the list of standards.
+BASIS = "编制(?:说明及)?依据|依据文件|主要规范标准"
 CONTACT = "联系人|联系电话|电话|手机|负责人"
 PRESENCE = {
     "quality": "质量|验收标准", "safety": "安全|危险源", "environment": "环境|文明施工|扬尘|防噪音|绿色施工", "emergency": "应急",
@@ -53,15 +55,28 @@ def schedule(lines: DataFrame, doc: str) -> DataFrame:
     return pivot.join(days, doc, "full")
 
 
-def cited_standards(lines: DataFrame, doc: str) -> DataFrame:
-    """doc, code, name, page_number and place: cited codes with the title on their line or beside it; the best named citation counts, in order of first place."""
+def cited_standards(lines: DataFrame, doc: str, in_calculation: Column | None = None) -> DataFrame:
+    """doc, code, name, page_number, place and position: all cited codes with the title on their line or beside it; the best citation counts, in order of first place (line, then position in it).
+
+    Named citations, pages that list what a plan is based on and, with
+    ``in_calculation`` (a flag of the line's page), pages outside calculations come
+    first. Where a line cites several codes, each has the title next to it.
+    """
     w = Window.partitionBy(doc).orderBy("page_number", "line_index")
-    title = F.nullif(F.regexp_extract("line", "《([^》]{2,60})》", 1), F.lit(""))
-    rows = lines.withColumn("title", title).withColumn("code", T.standard_code(F.col("line")))
-    rows = rows.withColumn("name", F.coalesce("title", F.lag("title").over(w), F.lead("title").over(w))).withColumn("seq", F.row_number().over(w)).where("code is not null")
-    score = F.when(F.col("name").isNotNull(), 100).otherwise(0)
-    best = F.max_by(F.struct("name", "page_number"), F.struct(score, -F.col("page_number"), -F.col("seq")))
-    return rows.groupBy(doc, "code").agg(best.alias("b"), F.min("seq").alias("place")).select(doc, "code", "b.name", "b.page_number", "place")
+    title_in = lambda c: F.nullif(F.regexp_extract(c, "《([^》]{2,60})》", 1), F.lit(""))
+    basis = F.coalesce(F.max(F.regexp_like("line", F.lit(BASIS))).over(Window.partitionBy(doc, "page_number")), F.lit(False))
+    calculation = F.lit(False) if in_calculation is None else F.coalesce(in_calculation, F.lit(False))
+    bonus = F.when(basis, 300).otherwise(0) - F.when(calculation, 500).otherwise(0)
+    rows = lines.withColumn("title", title_in(F.col("line"))).withColumn("bonus", bonus).withColumn("codes", T.standard_codes(F.col("line"))).withColumn("parts", F.split("line", T.CITED, -1))
+    rows = rows.withColumn("near", F.coalesce("title", F.lag("title").over(w), F.lead("title").over(w))).withColumn("seq", F.row_number().over(w))
+    after = F.when(title_in(F.col("parts")[0]).isNull(), 1).otherwise(0)
+    rows = rows.withColumn("after", after).select(doc, "page_number", "seq", "bonus", "near", "parts", "after", F.posexplode("codes").alias("position", "code")).where("code is not null")
+    name = F.coalesce(title_in(F.get("parts", F.col("position") + F.col("after"))), "near")
+    rows = rows.withColumn("name", name)
+    score = F.col("bonus") + F.when(F.col("name").isNotNull(), 100).otherwise(0)
+    best = F.max_by(F.struct("name", "page_number"), F.struct(score, -F.col("page_number"), -F.col("seq"), -F.col("position")))
+    found = rows.groupBy(doc, "code").agg(best.alias("b"), F.min(F.struct("seq", "position")).alias("first"))
+    return found.select(doc, "code", "b.name", "b.page_number", F.col("first.seq").alias("place"), "first.position")
 
 
 def identify_standard(candidates: DataFrame, doc: str, margin: int = 30) -> DataFrame:

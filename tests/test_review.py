@@ -138,6 +138,16 @@ def test_chunks_hold_all_text(spark):
     assert sum(c.count("b") for c in chunks) == 500
 
 
+def test_cited_standards_takes_all_codes_of_a_line(spark):
+    text = [(1, "《甲规范》GB 50010-2010、《乙标准》（JGJ/T 46—2005）"), (1, "TB 10001-2016《丙规范》和 DL/T 5210.1-2012《丁规程》"), (1, "DB11/T 1234-2010、JT/T 280-2004、CECS 102-2002、T/CECS 500-2018、T/ABC-12-2019、AB-CD-1"), (2, "无"), (2, "《旧名》GB 50010-2010"), (3, "编制依据"), (3, "《新名》GB 50010-2010")]
+    lines = spark.createDataFrame([("d", page, i, x) for i, (page, x) in enumerate(text)], "doc string, page_number int, line_index int, line string")
+    got = {r.code: r.name for r in X.cited_standards(lines, "doc").collect()}
+    assert set(got) == {"GB50010-2010", "JGJ/T46-2005", "TB10001-2016", "DL/T5210.1-2012", "DB11/T1234-2010", "JT/T280-2004", "CECS102-2002", "T/CECS500-2018", "T/ABC-12-2019", "AB-CD-1"}
+    assert (got["GB50010-2010"], got["JGJ/T46-2005"], got["TB10001-2016"], got["DL/T5210.1-2012"]) == ("新名", "乙标准", "丙规范", "丁规程")
+    calculation = {r.code: r.name for r in X.cited_standards(lines, "doc", F.col("page_number") == 3).collect()}
+    assert calculation["GB50010-2010"] == "甲规范"
+
+
 def test_extraction(spark):
     text = ["工程名称：某厂房 建设单位：甲公司", "计划开工日期：2022年4月15日", "计划竣工日期：2023-05-10", "总工期390天", "《混凝土规范》", "GB 50010-2010", "质量保证措施", "联系人：张三 13812345678"]
     lines = spark.createDataFrame([("d", 1, i, x) for i, x in enumerate(text)], "doc string, page_number int, line_index int, line string")
