@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column, right_at: Column, width: float, how: str = "inner") -> DataFrame:
@@ -37,9 +38,14 @@ def asof_backward(doc: str, order: Sequence[str], value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def rows_after(doc: str, order: Sequence[str]) -> WindowSpec:
+    """The rows after each row, from the last one on: Spark sums up frames that grow, but makes frames that shrink anew for each row."""
+    return Window.partitionBy(doc).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def asof_forward(doc: str, order: Sequence[str], value: Column) -> Column:
     """The first non-null value after the row."""
-    return F.first(value, ignorenulls=True).over(Window.partitionBy(doc).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    return F.last(value, ignorenulls=True).over(rows_after(doc, order))
 
 
 def neighbour_best(doc: str, order: Sequence[str], reach: int, score: str, value: str, cost: int = 3) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import ids
 from quern.functions import text as T
 from quern.operators import structure as S
+from quern.operators.joins import rows_after
 
 #: Fixed value: contents entries end in dots and a page number.
 CONTENTS_SUFFIX = r"(?:\.{2,}|…{2,}|·{2,}|\s{2,})\s*\d+\s*$"
@@ -97,8 +98,7 @@ def reading_order(lines: DataFrame, page: str) -> DataFrame:
 
 def article_intervals(lines: DataFrame, doc: str, order: str) -> DataFrame:
     """doc, article_number, first, until (start of the next article, null at the end) and cut (first structural heading in between, which ends the article)."""
-    w = Window.partitionBy(doc).orderBy(order)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    ahead = rows_after(doc, [order])
     rows = lines.withColumn("number", T.article_start(F.col("line"))["number"]).withColumn("__h", T.standard_heading(F.col("line")).isNotNull() & F.col("number").isNull())
     rows = rows.withColumn("until", F.min(F.when(F.col("number").isNotNull(), F.col(order))).over(ahead)).withColumn("__c", F.min(F.when(F.col("__h"), F.col(order))).over(ahead))
     cut = F.when(F.col("until").isNull() | (F.col("__c") < F.col("until")), F.col("__c"))

@@ -19,18 +19,21 @@ def bodies(lines: DataFrame, doc: str, order: str, title: Column, level: Column,
     title and level are null on lines that are no headings. Text goes to the
     nearest heading; a heading's body also holds those of the headings below it.
     """
-    rows = lines.withColumn("__t", title).withColumn("__l", level).withColumn("__h", F.when(F.col("__t").isNotNull(), F.col(order)))
-    heads = rows.where("__h is not null").select(doc, F.col("__t").alias("title"), F.col("__l").alias("level"), F.col(order).alias("first"))
-    ahead = Window.partitionBy(doc).orderBy("first").rowsBetween(1, Window.unboundedFollowing)
-    ends = F.lit(None).cast("long")
-    for n in range(1, 7):
-        ends = F.when(F.col("level") == n, F.min(F.when(F.col("level") <= n, F.col("first"))).over(ahead)).otherwise(ends)
-    spans = heads.withColumn("until", ends)
-    text = rows.where("__h is null").select(F.col(doc).alias("__d"), F.col(order).alias("__o"), "line")
-    met = spans.join(text, (F.col(doc) == F.col("__d")) & (F.col("__o") > F.col("first")) & (F.col("until").isNull() | (F.col("__o") < F.col("until"))), "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("__o", "line"))))
+    rows = lines.withColumn("__t", title).withColumn("__l", level)
+    heads = rows.where("__t is not null").select(doc, F.col("__t").alias("title"), F.col("__l").alias("level"), F.col(order).alias("first"))
+    upto = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # A line lies under the last heading of level n or above, if that has level n.
+    over = [F.last(F.when(F.col("__t").isNotNull() & (F.col("__l") <= n), F.struct(F.col(order).alias("at"), F.col("__l").alias("l"))), ignorenulls=True).over(upto) for n in range(1, 7)]
+    owners = F.array_compact(F.array(*(F.when(F.col(f"__o{n}.l") == n, F.col(f"__o{n}.at")) for n in range(1, 7))))
+    owned = rows.select("*", *(o.alias(f"__o{n}") for n, o in enumerate(over, 1))).where("__t is null")
+    owned = owned.select(F.col(doc).alias("__d"), F.col(order).alias("__p"), "line", F.explode(owners).alias("__first"))
+    before = Window.partitionBy("__d", "__first").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    near = owned.withColumn("__before", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).where(F.col("__before") < most)
+    parts = F.array_sort(F.collect_list(F.struct("__p", "line")))
     body = F.substring(F.array_join(F.transform(parts, lambda p: p["line"]), "\n"), 1, most)
-    return met.groupBy(doc, "title", "level", "first").agg(body.alias("body"))
+    texts = near.groupBy("__d", "__first").agg(body.alias("body"))
+    met = heads.join(texts, (F.col(doc) == F.col("__d")) & (F.col("first") == F.col("__first")), "left")
+    return met.select(doc, "title", "level", "first", F.coalesce("body", F.lit("")).alias("body"))
 
 
 def method_context(chapters: DataFrame, doc: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ids
 from quern.functions import text as T
+from quern.operators import regions as R
 from quern.operators import structure as S
 from quern.plans.common import query, table
 
@@ -253,11 +254,33 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ids.canonical_id("candidate_", fields).alias("content_id"))
 
 
-@query()
+#: A line of a standard for each part number, so that the documents made of an order's items have headings of all kinds.
+SCRIPT = ("目 录", "1 总则.....1", "1 总则", "1.0.1 为了安全", "", "附录 A", "A.0.1 检验", "条文说明", "起草说明", "正文部分", "废止的条文", "一、旧条", "第一", "章 总则", "2.0.1 一般规定", "普通文字")
+_SHAPE = lambda t, *kinds: "(" + " or ".join(f"regexp_matches(coalesce({t}, ''), '{R.SHAPES[k]}')" for k in kinds) + ")"
+_AHEAD = lambda *kinds: "(" + " or ".join(_SHAPE(f"a{i}", *kinds) for i in (1, 2, 3)) + ")"
+
+
+@query(f"""
+with recursive l as (select l_orderkey // 8 as doc, row_number() over (partition by l_orderkey // 8 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos, {list(SCRIPT)}[1 + l_partkey % {len(SCRIPT)}] as t from lineitem),
+n as (select *, lead(t, 1) over w as a1, lead(t, 2) over w as a2, lead(t, 3) over w as a3 from l window w as (partition by doc, t = '' order by pos)),
+f as (select doc, pos, t = '' as blank, {_SHAPE("t", "toc")} as toc, {_SHAPE("t", "toc_entry")} as entry, {_SHAPE("t", "normative")} as normative, {_SHAPE("t", "drafting")} as drafting,
+  {_SHAPE("t", "explanation")} and {_AHEAD("chapter", "article")} as explanation, ({_SHAPE("t", "repealed")} or {_SHAPE("t || coalesce(a1, '')", "repealed_intro")}) and {_AHEAD("article", "repealed_item")} as repealed,
+  ({_SHAPE("t", "root")} or {_SHAPE("t || coalesce(a1, '')", "root")}) and {_AHEAD("article")} as root, {_SHAPE("t", "appendix")} and a1 is not null and ({_SHAPE("a1", "appendix_article")} or not {_SHAPE("a1", "toc_entry")}) as appendix,
+  {_SHAPE("t", "article")} or ({_SHAPE("t", "chapter")} and {_AHEAD("article")}) as opening from n),
+s as (select distinct doc, 0::bigint as pos, 'FRONT_MATTER' as state, false as waits, false as listed, false as seen from f union all
+  select f.doc, f.pos, case when toc or blank or entry then state when normative or drafting then 'OTHER' when explanation then 'EXPLANATION'
+      when repealed and state in ('FRONT_MATTER', 'NORMATIVE_BODY') then 'REPEALED_LIST' when root and (waits or state in ('FRONT_MATTER', 'REPEALED_LIST')) then 'NORMATIVE_BODY' when root and state = 'APPENDIX' then 'OTHER'
+      when appendix and state = 'NORMATIVE_BODY' then 'APPENDIX' when opening and not seen and state = 'FRONT_MATTER' then 'NORMATIVE_BODY' else state end,
+    case when toc or blank or entry then waits when normative then true when drafting or explanation or root then false else waits end,
+    toc or (listed and (blank or entry)), seen or toc from s join f on f.doc = s.doc and f.pos = s.pos + 1)
+select doc, pos, case when listed then 'FRONT_MATTER' else state end as region from s where pos > 0""")
 def standard_region_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of documents as standards, then their runs (a state machine, beyond SQL; fixture tests hold it)."""
-    lines = S.explode_lines(table(spark, sf_dir, "documents"), ["doc_id"])
-    return S.islands(S.standard_regions(lines, "doc_id", ["line_index"]), "doc_id", ["line_index"], "region")
+    """Regions of standards, whose lines follow SCRIPT by part number."""
+    at = Window.partitionBy("doc").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").withColumn("doc", F.floor(F.col("l_orderkey") / 8))
+    said = F.element_at(F.array(*map(F.lit, SCRIPT)), (F.col("l_partkey") % len(SCRIPT) + 1).cast("int"))
+    lines = items.select("doc", F.row_number().over(at).cast("long").alias("pos"), said.alias("line"))
+    return R.standard_regions(lines, "doc", ["pos"]).select("doc", "pos", "region")
 
 
 @query()

@@ -9,6 +9,7 @@ from quern.operators import completeness as CP
 from quern.operators import consistency as CO
 from quern.operators import extract as X
 from quern.operators import quality as QU
+from quern.operators import regions as R
 from quern.operators import review as V
 from quern.operators import structure as S
 
@@ -114,15 +115,35 @@ def test_quality_lines(spark):
     assert QU.page_issues(lines, "page").count() == 0
 
 
+def regions_of(spark, text):
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(text)], "doc string, line_index int, line string")
+    return R.standard_regions(lines, "doc", ["line_index"])
+
+
 def test_regions_of_a_standard(spark):
     text = ["封面", "目 次", "1 总则.....1", "2 术语.....3", "", "1 总则", "1.0.1 为了安全", "附录 A", "A.0.1 检验", "条文说明", "1.0.1 说明"]
-    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(text)], "doc string, line_index int, line string")
-    got = [r.region for r in S.standard_regions(lines, "doc", ["line_index"]).orderBy("line_index").collect()]
+    got = [r.region for r in regions_of(spark, text).orderBy("line_index").collect()]
     assert got == ["FRONT_MATTER"] * 5 + ["NORMATIVE_BODY"] * 2 + ["APPENDIX"] * 2 + ["EXPLANATION"] * 2
-    runs = S.islands(S.standard_regions(lines, "doc", ["line_index"]), "doc", ["line_index"], "region").orderBy("island").collect()
+    runs = S.islands(regions_of(spark, text), "doc", ["line_index"], "region").orderBy("island").collect()
     assert [(r.region, r.first, r.last) for r in runs] == [("FRONT_MATTER", 0, 4), ("NORMATIVE_BODY", 5, 6), ("APPENDIX", 7, 8), ("EXPLANATION", 9, 10)]
 
 
+@pytest.mark.parametrize(("text", "expected"), [
+    (["正文部分", "前言", "第一章 总则", "1.0.1 甲"], "OONN"),
+    (["第一", "章", "1.0.1 甲"], "NNN"),
+    (["附录 A", "1.0.1 甲", "附录 B", "附录 C.....9"], "FNNN"),
+    (["1.0.1 甲", "附录 A", "A.0.1 乙", "1 总则", "1.0.1 丙", "附录 B", "x"], "NAAOOOO"),
+    (["废止的条文", "乙", "丙"], "FFF"),
+    (["废止的条文", "一、乙", "1 总则", "1.0.1 甲", "同时废止下列标准的", "强制性条文：", "1.0.2 乙"], "RRNNRRR"),
+    (["目录", "1 总则...1", "2 章", "2.0.1 甲"], "FFFF"),
+    (["条文说明", "无", None, "起草说明", "x"], "FFFOO"),
+    (["正文", "废止的条文", "一、甲", "1 总则", "1.0.1 乙"], "OOONN"),
+])
+def test_regions_case_by_case(spark, text, expected):
+    names = {"F": "FRONT_MATTER", "N": "NORMATIVE_BODY", "A": "APPENDIX", "E": "EXPLANATION", "R": "REPEALED_LIST", "O": "OTHER"}
+    assert [r.region for r in regions_of(spark, text).orderBy("line_index").collect()] == [names[x] for x in expected]
+
+
 def test_repeated_edges(spark):
     pages = spark.createDataFrame([("d", i, f"某工程方案\n正文{i}甲乙\n第{i}页共9页") for i in range(1, 5)] + [("e", 1, "x"), ("e", 2, "x")], "doc string, page int, text string")
     assert {(r.edge, r.pages) for r in S.repeated_edges(pages, "doc", "occurrence").collect()} == {("某工程方案", 4), ("第#页共#页", 4)}
