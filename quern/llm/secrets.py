@@ -68,9 +68,11 @@ def linked_spans(docs: DataFrame, scope: int = 256) -> DataFrame:
     spans = _spans(docs)
     base = spans.where(F.col("kind").isin(*BASE))
     role = F.element_at(F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv)), F.col("kind"))
-    order = Window.partitionBy("doc_id", "print").orderBy("start", "end", "kind")
-    covered = F.max(F.when(F.col("kind").isin(*BASE), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.min(F.when(F.col("kind").isin(*BASE), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    text = Window.partitionBy("doc_id", "print")
+    # What follows is read from the end: frames that only grow cost one pass, however many spans a text has.
+    before, after = (text.orderBy(*(d(c) for c in ("start", "end", "kind"))).rowsBetween(Window.unboundedPreceding, -1) for d in (F.asc, F.desc))
+    covered = F.max(F.when(F.col("kind").isin(*BASE), F.col("end"))).over(before)
+    opens = F.min(F.when(F.col("kind").isin(*BASE), F.col("start"))).over(after)
     free = F.col("kind").isin(*BASE) | ((F.coalesce("covered", F.lit(-1)) <= F.col("start")) & (F.coalesce("opens", F.col("end")) >= F.col("end")))
     parts = spans.withColumn("covered", covered).withColumn("opens", opens).where(free).drop("covered", "opens")
     parts = parts.withColumn("role", role).withColumn("bucket", F.floor(F.col("start") / scope))
