@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, epoch
     """
     names = Window.orderBy("no_source", "source")
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "no_source", "source")
-    after = by_cap.rowsBetween(0, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc(F.col("cap") / F.col("weight")), F.desc("no_source"), F.desc("source")).rowsBetween(Window.unboundedPreceding, 0)
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     turn = (F.row_number().over(names) - 1) % len(weights)
@@ -55,18 +55,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, epoch
     return out.select("no_source", "source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7, range_digits: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row.
-
-    taken counts the words that the mix takes of the document, repeats included,
-    from 0 to ``epochs`` times its size; each source's taken words are its target
-    rounded down. A null text has size 0, a null source is a source of its own.
-    Repeated rows each count; rows with equal doc_id and size are interchangeable,
-    and reruns agree. ``range_digits`` is the number of leading hexadecimal digits
-    of the key that make a range (16**3 ranges a source). Other columns are
-    ignored; an empty table gives an empty result.
-    """
-    sized = docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size_of(F.col("text")).alias("size"))
+def _placed(docs: DataFrame, weights: Sequence[int], share: float, epochs: int, seed: int, range_digits: int, rows: bool) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row, and with ``rows`` the whole row as a struct."""
+    own = [F.struct(*docs.columns).alias("row")] if rows else []
+    sized = docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size_of(F.col("text")).alias("size"), *own)
     sized = sized.withColumn("key", random_key(F.col("doc_id"), seed)).withColumn("range", F.substring("key", 1, range_digits))
     ranges = sized.groupBy("no_source", "name", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.select("no_source", F.col("name").alias("source"), F.col("range_size").alias("size")), weights, share, epochs)
@@ -79,7 +71,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("upto") + F.col("size")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    taken = (whole * F.col("size") + part).cast("long").alias("taken")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken, *(["row"] if rows else []))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7, range_digits: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row.
+
+    taken counts the words that the mix takes of the document, repeats included,
+    from 0 to ``epochs`` times its size; each source's taken words are its target
+    rounded down. A null text has size 0, a null source is a source of its own.
+    Repeated rows each count; rows with equal doc_id and size are interchangeable,
+    and reruns agree. ``range_digits`` is the number of leading hexadecimal digits
+    of the key that make a range (16**3 ranges a source). Other columns are
+    ignored; an empty table gives an empty result.
+    """
+    return _placed(docs, weights, share, epochs, seed, range_digits, rows=False)
 
 
 def first_words(text: Column, count: Column) -> Column:
@@ -88,20 +95,20 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), count.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7, range_digits: int = 3) -> DataFrame:
     """The mix itself: each row once for every whole copy taken, and once cut to the words of a partial copy.
 
     Rows of which nothing is taken go, except that documents without a word cost
     nothing and stay once. The columns are those of ``docs``; where there is
-    n_chars, cut rows get their own. doc_id must be unique here: ``docs`` whose
-    doc_ids repeat should be given new ones first.
+    n_chars, cut rows get their own. Rows travel with their plan: repeated and
+    null doc_ids are rows like any other. Other cases are those of :func:`mix`.
     """
-    plan = mix(docs, **options).select("doc_id", "size", "taken")
-    joined = docs.join(plan.withColumnsRenamed({"size": "__size", "taken": "__taken", "doc_id": "__id"}), docs["doc_id"].eqNullSafe(F.col("__id")))
-    copies = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.col("__size")))
-    rows = joined.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    words = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    cut = (F.col("__size") > 0) & (words < F.col("__size"))
-    rows = rows.withColumn("__text", F.when(cut, first_words(F.col("text"), words)).otherwise(F.col("text")))
-    own = {"text": F.col("__text"), "n_chars": F.when(cut, F.length("__text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*(own[c].cast(t).alias(c) if c in own else F.col(c) for c, t in docs.dtypes))
+    placed = _placed(docs, weights, share, epochs, seed, range_digits, rows=True)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    rows = placed.select("size", "taken", "row", copies.alias("copies")).where("copies > 0")
+    rows = rows.select("size", "taken", "row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    words = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    cut = (F.col("size") > 0) & (words < F.col("size"))
+    rows = rows.select("row", cut.alias("cut"), F.when(cut, first_words(F.col("row.text"), words)).otherwise(F.col("row.text")).alias("said"))
+    own = {"text": F.col("said"), "n_chars": F.when(F.col("cut"), F.length("said")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*((own[c].cast(t) if c in own else F.col("row").getField(c)).alias(c) for c, t in docs.dtypes))
