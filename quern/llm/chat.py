@@ -8,8 +8,9 @@ contents, and dropping each escaping backslash gives the contents back.
 Assembly is columnar: the lengths of all segments (header, contents, footer) give
 cumulative offsets, these give scatter indices, and every byte is copied once
 into one preallocated buffer that becomes the Arrow column. Turns are grouped in
-blocks of turn numbers, so a conversation of any length is made in parallel as
-parts of bounded size.
+blocks of turn numbers, so a conversation of any length is made in parallel, and
+a block in parts of bounded size, so that neither many nor very long turns are
+held at once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*?)</turn>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-PART_SCHEMA = "conv_id long, block long, n_turns long, text string, loss array<long>"
+PART_SCHEMA = "conv_id long, block long, part int, n_turns long, text string, loss array<long>"
+#: Bytes of roles and texts in a part; a longer turn is a part of its own. Parts are assembled several at once.
+PART_BYTES, AT_ONCE = 8 << 20, 8
 
 
 def escape(column: pa.Array, role: bool = False) -> pa.Array:
@@ -67,15 +71,13 @@ def assemble(segments: list[pa.Array | bytes], rows: int) -> tuple[pa.Buffer, np
     return buffer, at[:: len(segments)]
 
 
-def _format(table: pa.Table) -> pa.RecordBatch:
-    """Parts of a table of whole blocks, sorted by conversation, block and turn."""
+def _format(table: pa.Table, first: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Parts of a table sorted by conversation, block and turn; first rows of the parts, and their numbers in their blocks."""
     n = table.num_rows
     conv, block = table.column("conv_id").combine_chunks(), table.column("block").combine_chunks()
     roles = escape(table.column("role").cast(pa.large_string()).combine_chunks(), role=True)
     texts = escape(table.column("text").cast(pa.large_string()).combine_chunks())
     buffer, offsets = assemble([OPEN.encode(), roles, MIDDLE.encode(), texts, CLOSE.encode()], n)
-    keys = np.stack([pc.fill_null(conv, 0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False), block.to_numpy()], axis=1)
-    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
     last = np.append(first[1:], n)
     role_chars, text_chars = (pc.utf8_length(c).to_numpy().astype(np.int64) for c in (roles, texts))
     chars = role_chars + text_chars + len(OPEN) + len(MIDDLE) + len(CLOSE)
@@ -88,34 +90,59 @@ def _format(table: pa.Table) -> pa.RecordBatch:
     text = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets[np.append(first, n)].astype(np.int32)), buffer)
     loss = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(marks))
     take = pa.array(first)
-    return pa.RecordBatch.from_arrays([conv.take(take), block.take(take), pa.array(last - first), text, loss], ["conv_id", "block", "n_turns", "text", "loss"])
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last block of a batch waits for the next, where it may go on."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        key = [table.column(c).to_numpy() for c in ("conv_key", "block")]
-        cut = int(np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]))[-1]) + 1 if ((key[0] != key[0][-1]) | (key[1] != key[1][-1])).any() else 0
-        if cut:
-            yield _format(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield _format(held)
-
-
-def format_chats(turns: DataFrame, block: int = 1024) -> DataFrame:
-    """Formatted parts of all conversations: conv_id, block, n_turns, text, loss.
+    return pa.RecordBatch.from_arrays([conv.take(take), block.take(take), pa.array(part, pa.int32()), pa.array(last - first), text, loss], ["conv_id", "block", "part", "n_turns", "text", "loss"])
+
+
+def _sizes(table: pa.Table) -> np.ndarray:
+    return sum(pc.fill_null(pc.binary_length(table.column(c)), 0).to_numpy().astype(np.int64) for c in ("role", "text"))
+
+
+def _breaks(table: pa.Table, sizes: np.ndarray, part: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the parts and their numbers; the first part has number ``part`` in its block."""
+    key = [table.column(c).to_numpy() for c in ("conv_key", "block")]
+    new = np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])))
+    first, number, held = [], [], 0
+    for i, (fresh, size) in enumerate(zip(new.tolist(), sizes.tolist(), strict=True)):
+        if fresh or held + size > most:
+            number.append(part if not i else 0 if fresh else number[-1] + 1)
+            first.append(i)
+            held = 0
+        held += size
+    return np.array(first), np.array(number)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The last part of a batch waits for the next, where it may go on."""
+    held, number = None, 0
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+        if held is None:
+            return
+        sizes = _sizes(held)
+        first, part = _breaks(held, sizes, number, most)
+        done = len(first) - 1 if batch is not None else len(first)
+        ends, upto, lo = np.append(first[1:], held.num_rows), np.concatenate(([0], np.cumsum(sizes))), 0
+        while lo < done:
+            hi = max(lo + 1, min(done, int(np.searchsorted(upto[ends], upto[first[lo]] + AT_ONCE * most, "right"))))
+            yield _format(held.slice(first[lo], ends[hi - 1] - first[lo]), first[lo:hi] - first[lo], part[lo:hi])
+            lo = hi
+        if batch is not None:
+            held, number = held.slice(first[-1]), int(part[-1])
+
+
+def format_chats(turns: DataFrame, block: int = 1024, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Formatted parts of all conversations: conv_id, block, part, n_turns, text, loss.
 
     ``turns`` has conv_id, turn, role and text; rows go by turn (null first), ties
     by role and text. Null role or text counts as empty, null conv_id as a
-    conversation of its own. A part holds the turns whose number divided by
-    ``block`` is the same; parts by block number make up the conversation. loss
-    has starts and ends (code points of the part) of assistant texts. Repeated
+    conversation of its own. A block holds the turns whose number divided by
+    ``block`` is the same (turns without a number come first), in parts of
+    about ``part_bytes``; parts by block and part number make up the conversation.
+    loss has starts and ends (code points of the part) of assistant texts. Repeated
     rows are kept, other columns are ignored, an empty table gives no parts.
     """
     rows = turns.select(
@@ -123,7 +150,7 @@ def format_chats(turns: DataFrame, block: int = 1024) -> DataFrame:
         F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long").alias("block"), "turn", F.col("role").cast("string"), F.col("text").cast("string"),
     )
     dealt = rows.repartition("conv_key", "block").sortWithinPartitions("conv_key", "block", F.asc_nulls_first("turn"), "role", "text")
-    return dealt.mapInArrow(_parts, PART_SCHEMA)
+    return dealt.mapInArrow(lambda batches: _parts(batches, part_bytes), PART_SCHEMA)
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -169,7 +196,7 @@ def chat_digests(parts: DataFrame) -> DataFrame:
             yield _rows([now])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return parts.repartition(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).sortWithinPartitions("conv_id", "block").mapInArrow(run, schema)
+    return parts.repartition(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).sortWithinPartitions("conv_id", "block", "part").mapInArrow(run, schema)
 
 
 def _rows(done: list[list]) -> pa.RecordBatch:
