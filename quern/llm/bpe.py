@@ -16,7 +16,9 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -175,11 +177,18 @@ def _codec(spec: str) -> Codec:
     return _codecs[key]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices whose last column has at most ``most`` bytes or ids, one row at least, with that column's values."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        last = batch.column(batch.num_columns - 1)
+        sizes = pc.list_value_length(last) if pa.types.is_list(last.type) else pc.binary_length(last)
+        upto = np.concatenate(([0], np.cumsum(pc.fill_null(sizes, 0).to_numpy().astype(np.int64))))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+            part = batch.slice(lo, hi - lo)
             yield part, part.column(part.num_columns - 1).to_pylist()
+            lo = hi
 
 
 def _spec(docs: DataFrame, path: str):
