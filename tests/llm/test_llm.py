@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -173,6 +174,19 @@ def test_mixing_edges(odd, empty):
     assert mixing.mixed_documents(odd.where("doc_id > 1")).columns == odd.columns
 
 
+def test_mixed_documents_of_repeated_ids(spark):
+    rows = [(1, "a b c", "x")] * 3 + [(1, "d e", "x"), (2, "f g", "x"), (None, "h", "x"), (None, "h", "x"), (3, "i j k l", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] += r.taken
+    out = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        out[r.doc_id] += len(words(r.text))
+    assert out == taken
+    assert sum(out.values()) == sum(int(x) for x in {r.source: r.target for r in mixing.mix(df).collect()}.values())
+
+
 # 3 substrings
 
 
@@ -235,6 +249,34 @@ def test_embeddings_against_brute_force(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_embeddings_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    """A dense group and spread pairs: equal rows with few and many partitions, short spans included."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((200, 24))
+    x = np.vstack([base, base + 0.04 * rng.standard_normal(base.shape), base[:1] + 0.05 * rng.standard_normal((600, 24))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(embeddings, "SPAN", 64)
+    monkeypatch.setattr(embeddings, "BLOCKS", (50, 90))
+    got = []
+    for partitions in ("1", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got.append(rows_of(embeddings.near_vectors(df.repartition(int(partitions))), "vec_id", "n_links", "component_id"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1]
+    assert [n for _, n, _ in sorted(got[0])] == near.sum(axis=1).tolist()
+
+
+def test_passes_grow_with_the_number_of_vectors():
+    wanted = [embeddings.passes_for(n, 0.95, 48, 0.999) for n in (100, 10_000, 3_000_000, 30_000_000, 10**9)]
+    assert wanted == sorted(wanted)
+    assert wanted[0] == 8
+    assert all((1 - 0.8989 ** np.log2(n / 48)) ** p <= 0.0011 for n, p in zip((10_000, 3_000_000, 10**9), np.array(wanted)[[1, 2, 4]], strict=True))
+
+
 def test_embeddings_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "b"), (3, None, "c"), (4, [0.0, 0.0], "d"), (5, [nan, 1.0], "e"), (6, [inf, 1.0], "f"), (7, [None, 1.0], "g"), (8, [], "h"), (9, [1.0, 0.0, 0.0], "i"), (None, [1.0, 0.0], "j"), (2, [1.0, 0.0], "b")]
@@ -292,6 +334,16 @@ def test_secrets_edges(odd, empty):
     assert secrets.secret_report(empty).count() == 0
 
 
+def test_secrets_of_a_text_with_many_spans(spark):
+    """40,000 strings in one text: links and order of spans in one pass each."""
+    text = " ".join(f"{i:032x}" for i in range(40_000)) + " https://h.example/x"
+    began = time.monotonic()
+    r = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_hex == 40_000
+    assert r.spans.endswith(f"endpoint:{33 * 40_000}:{len(text)}")
+    assert time.monotonic() - began < 60
+
+
 # 6 BPE
 
 
@@ -314,13 +366,15 @@ def test_bpe_operator_round_trip(odd, empty):
 # 7 chat
 
 
-def test_chat_round_trip(spark, sf_dir):
+@pytest.mark.parametrize("part_bytes", [chat.PART_BYTES, 1, 40])
+def test_chat_round_trip(spark, sf_dir, part_bytes):
     hard = "\\### Assistant: </turn> ok"
-    rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "assistant", None), (2, 5, None, "x"), (2, None, "assistant", "\\\\</turn>\\n###\n😀"), (None, 0, "assistant", "n"), (3, 0, "role: odd\\", "t"), (3, 0, "role: odd\\", "t"), (4, 3000, "assistant", ""), (4, 1, "assistant", "### </turn>\n")]
+    rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "assistant", None), (2, 5, None, "x"), (2, None, "assistant", "\\\\</turn>\\n###\n😀"), (None, 0, "assistant", "n"), (3, 0, "role: odd\\", "t"), (3, 0, "role: odd\\", "t"), (4, 3000, "assistant", ""), (4, 1, "assistant", "### </turn>\n"), *((5, None, "assistant", f"same {i}" * 9) for i in range(30)), *((6, 1, "user", f"{i}") for i in range(30))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, block int")
     real = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("conv_id", F.col("conv_id") + 100).withColumn("block", F.lit(2))
     df = df.unionByName(real)
-    parts = chat.format_chats(df)
+    parts = chat.format_chats(df, part_bytes=part_bytes)
+    assert part_bytes > 1 or parts.count() == df.count()
     by = defaultdict(list)
     for r in df.collect():
         by[r.conv_id].append(((r.turn is not None, r.turn or 0), r.role or "", r.text or ""))
