@@ -2,25 +2,29 @@
 
 Lineage is cut by writing Parquet under the folder the session names in
 ``spark.checkpoint.dir``; a temporary folder is used only where that setting
-and the context's checkpoint directory are both unset, as in tests.
+and the context's checkpoint directory are both unset and all of Spark runs in
+this process, as in tests.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written: its shuffle files go as soon as it is there, and joins may hash a side that the run itself has measured to be small in every partition.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, named, True)
         spark.sparkContext.setCheckpointDir(named)
@@ -36,22 +40,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark deletes them when the JVM collects what refers to them."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def _path(df: DataFrame):
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quern_path)
+    return path, path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
+def if_small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """A table of :func:`materialize`, hinted as the side that a join hashes if its files have at most ``most`` bytes for each shuffle partition."""
+    path, store = _path(df)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash") if store.getContentSummary(path).getLength() <= most * parts else df
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote and nothing lazy reads any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quern_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = _path(df)
+        store.delete(path, True)

@@ -7,15 +7,16 @@ document with a smaller doc_id.
    windows have equal minimizers. Phrases that are minimizers in two documents or
    more are kept, each with its owner, the smallest such document. One row in
    four or five words is shuffled, pre-aggregated.
-2. Confirm. Windows with a kept minimizer are cut out as segments, keyed by the
-   owner; of these, the windows that occur in two documents are confirmed, each
-   with the first document it occurs in, whose words give the passage.
+2. Confirm. All documents are cut into segments, the runs of windows whose kept
+   minimizers have one owner; windows without a kept minimizer occur in one
+   document only and need no look-up. Of the segments' windows, those that occur
+   in two documents are confirmed, each with the first document it occurs in,
+   whose words give the passage.
 3. Compile and stream. Owners are dealt over shards of bounded size; each shard's
    passages become one Aho-Corasick automaton over word numbers, through which
-   the shard's segments stream. Owners with many segments are salted, their
-   passages copied to every salt.
-
-Later exact copies of a text are told by a digest and need none of this.
+   the shard's segments stream, whole copies included. Owners with many segments
+   are salted, their passages copied to every salt; owners with long passages are
+   sliced, their segments sent to every slice.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize, release
+from .storage import discard, materialize
 from .wordhash import Words, byte_chunks, span_hashes
 
 PHRASE = 6
-#: Words of passages in a shard's automaton, about; segments of an owner in a salt, about.
+#: Words of passages in a shard's automaton, about (an owner with more is sliced); segments of an owner in a salt, about.
 SHARD_WORDS, SALT_ROWS = 50_000, 50_000
 _PHRASE_K = 0xD6E8FEB86659FD93
 
@@ -132,7 +133,8 @@ def confirmed(parts: DataFrame, size: int) -> DataFrame:
 
 
 def passages(parts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """owner, doc_id, start and text: the runs of confirmed windows in the first documents that hold them."""
+    """owner, doc_id, start, text and n (words): the runs of confirmed windows in the first documents that hold them, in pieces of a quarter shard."""
+    piece = max(1, SHARD_WORDS // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +152,11 @@ def passages(parts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(at)) - 1
                 first, last = (x[good[first]] for x in (first, last)) if len(first) else (first, first)
+                # Long runs in pieces that share the words of a window but one.
+                pieces = -(-(last - first + 1) // piece)
+                number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first, last = np.repeat(first, pieces) + number * piece, np.repeat(last, pieces)
+                last = np.minimum(last, first + piece - 1)
                 begin, end = words.starts[at[first]], words.ends[at[last] + size - 1]
                 texts = [data[a:z].tobytes().decode() for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
                 r = row[first]
@@ -195,18 +202,20 @@ def occurrences(parts: DataFrame, found: DataFrame, size: int) -> DataFrame:
     shards = 1 + total // SHARD_WORDS
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard")
     # A table of its own, so that the joins with it can be split at hot owners.
-    hot = materialize(parts.groupBy("owner").count().where(F.col("count") > SALT_ROWS).select("owner", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts")), "hot")
-    salted = lambda df: df.join(hot, "owner", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    laid = salted(found).select(shard, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "start", "text")
-    sent = salted(parts).select(shard, F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "start", "text")
+    lots = lambda df, size, most, name: df.groupBy("owner").agg(size.alias("size")).where(F.col("size") > most).select("owner", F.ceil(F.col("size") / most).cast("int").alias(name))
+    hot = materialize(lots(parts, F.count(F.lit(1)), SALT_ROWS, "salts").join(lots(found, F.sum("n"), SHARD_WORDS, "slices"), "owner", "full"), "hot")
+    dealt = lambda df: df.join(hot, "owner", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("slices", F.coalesce("slices", F.lit(1)))
+    each, of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    laid = dealt(found).select(shard, each("salts").alias("salt"), of("slices", "doc_id", "start").alias("slice"), F.lit(0).alias("kind"), "doc_id", "start", "text")
+    sent = dealt(parts).select(shard, of("salts", "doc_id").alias("salt"), each("slices").alias("slice"), F.lit(1).alias("kind"), "doc_id", "start", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton = None, None
         for batch in batches:
             ids, ranges = [], []
-            for s, salt, kind, doc_id, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, salt) != now:
-                    now, automaton = (s, salt), Automaton(size)
+            for s, salt, piece, kind, doc_id, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, salt, piece) != now:
+                    now, automaton = (s, salt, piece), Automaton(size)
                 if kind == 0:
                     automaton.add(text.encode(), doc_id)
                 elif automaton.numbers and (hits := automaton.locate(text.encode(), doc_id)):
@@ -215,48 +224,36 @@ def occurrences(parts: DataFrame, found: DataFrame, size: int) -> DataFrame:
             if ids:
                 yield _batch(doc_id=pa.array(ids, pa.int64()), ranges=pa.array(ranges, pa.list_(pa.int64())))
 
-    dealt = laid.union(sent).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
-    rows = dealt.mapInArrow(run, "doc_id long, ranges array<long>")
+    streams = laid.union(sent).repartition("shard", "salt", "slice").sortWithinPartitions("shard", "salt", "slice", "kind", "doc_id")
+    rows = streams.mapInArrow(run, "doc_id long, ranges array<long>")
     return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, copy and ranges of the documents that lose words: copy is true for later copies of a whole text, which lose all windows."""
+    """doc_id and ranges (array of begin and end words) of the documents that lose words."""
     if size <= PHRASE:
         raise ValueError(f"windows have more than {PHRASE} words")
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    prints = materialize(known.select("doc_id", F.md5("text").alias("print")), "prints")
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    # A table of its own, so that the join with it can be split at texts with very many copies.
-    firsts = materialize(firsts, "firsts")
-    copies = materialize(prints.join(firsts, "print").where("doc_id > first").select("doc_id").distinct(), "copies")
     rows = materialize(phrase_rows(known, size), "phrases")
-    # Each step lets go of its shuffle files before the next one writes its own.
-    spark = docs.sparkSession
-    release(spark)
     owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
     owners = materialize(owners, "owners")
-    release(spark)
-    kept = rows.join(owners, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "owner")).alias("kept")).join(copies, "doc_id", "left_anti")
-    kept = materialize(kept, "kept")
-    discard(rows, prints, firsts, owners)
-    release(spark)
+    kept = materialize(rows.join(owners, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "owner")).alias("kept")), "kept")
+    discard(rows, owners)
     parts = materialize(segments(known.join(kept, "doc_id"), size), "segments")
     discard(kept)
-    release(spark)
     found = materialize(passages(parts, confirmed(parts, size), size), "passages")
-    ranges = occurrences(parts, found, size)
-    whole = copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("ranges"))
-    return materialize(ranges.select("doc_id", F.lit(False).alias("copy"), "ranges").union(whole), "ranges")
+    out = materialize(occurrences(parts, found, size), "ranges")
+    discard(parts, found)
+    return out
 
 
-def _removed(n: int, copy: bool, ranges: list[int] | None, size: int) -> np.ndarray:
+def _removed(n: int, ranges: list[int] | None) -> np.ndarray:
     out = np.zeros(n + 1, np.int64)
-    if copy and n >= size:
-        out[0] = 1
-    elif ranges:
-        np.add.at(out, ranges[::2], 1)
-        np.add.at(out, ranges[1::2], -1)
+    if ranges:
+        # Rows that share a doc_id may be shorter than the one a range was found in.
+        at = np.minimum(ranges, n)
+        np.add.at(out, at[::2], 1)
+        np.add.at(out, at[1::2], -1)
     return np.cumsum(out)[:n] > 0
 
 
@@ -264,8 +261,8 @@ def dedup_substrings(docs: DataFrame, size: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row.
 
     A null text has no words. Rows with a null doc_id come before no other and
-    keep all words. Rows that share a doc_id count as one document and must have
-    equal texts; they come back as often. Texts shorter than a window keep all
+    keep all words. Rows that share a doc_id count as one document: word places that go
+    from one go from all; they come back as often. Texts shorter than a window keep all
     words. Other columns are ignored; an empty table gives an empty result.
     """
     ranges = repeated_ranges(docs, size)
@@ -274,14 +271,14 @@ def dedup_substrings(docs: DataFrame, size: int = 13) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, copy, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
-                gone = _removed(len(words), bool(copy), spans, size)
+                gone = _removed(len(words), spans)
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words).decode())
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
             yield _batch(doc_id=batch.column(0), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept=pa.array(kept, pa.string()))
 
-    return rows.select("doc_id", "text", "copy", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
