@@ -1,19 +1,23 @@
 """Quality rules with risk-controlled thresholds.
 
-Fixed base rules drop the plainly broken. Beyond them, each rule feature gets a
-cutoff per stratum from labelled documents: candidate cutoffs are the quantiles
-of one half of the labelled good documents, and a cutoff is accepted only if, on
-the other half, an exact binomial (Clopper-Pearson) upper bound on the share of
-good documents that it rejects stays below the allowed risk, at a confidence
-that is corrected for all tests made (Bonferroni over strata, features and
-candidates). Documents are rejected by an accepted cutoff only.
+Fixed base rules drop the plainly broken. Beyond them, a document is rejected if
+a rule feature exceeds its cutoff. Cutoffs come per stratum from labelled
+documents: candidates are quantiles of one half of the labelled good documents,
+from the highest (level 1.0) down; on the other half, an exact binomial
+(Clopper-Pearson) upper bound on the share of good documents that the features
+reject together must stay within the allowed risk. Levels are tested in this
+fixed order and the walk ends at the first that fails, so that one stratum's
+levels need no further correction; strata share the error probability equally
+(Bonferroni). Strata with too few labels for the bound are merged with their
+neighbour first: the bound then holds for the merged stratum, and the walk ends
+too where a member exceeds the risk on its own labels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,13 @@ from pyspark.sql import functions as F
 from .storage import discard, materialize
 from .wordhash import Words, byte_chunks, span_hashes
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: What the base rules and the features count.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks")
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
+#: The marks of shouting.
+MARKS = b"!?"
+_SYMBOL, _MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (SYMBOLS, MARKS))
 
 
 def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -49,6 +56,7 @@ def count_chunk(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     chars = np.concatenate(([0], np.cumsum(lead[words.ends] - lead[words.starts])))
     out = {"n_words": words.counts(), "word_chars": chars[words.first[1:]] - chars[words.first[:-1]], "n_symbols": _row_sums(_SYMBOL[data], offsets)}
+    out |= {"n_capitals": _row_sums((data >= 65) & (data <= 90), offsets), "n_marks": _row_sums(_MARK[data], offsets)}
     hashes = words.hashes()
     at, row, value = words.windows(hashes, window)
     order, same = _seen_before(row, value)
@@ -92,12 +100,17 @@ FEATURES = {
     "dup_line_rate": "n_dup_lines * 1000.0 / greatest(n_words, 1)",
     "repeat_rate": "n_repeat_words * 1000.0 / greatest(n_words, 1)",
     "word_length": "abs(word_chars * 1.0 / greatest(n_words, 1) - 5.0)",
+    "capital_rate": "n_capitals * 1000.0 / greatest(word_chars, 1)",
+    "mark_rate": "n_marks * 1000.0 / greatest(n_words, 1)",
 }
-#: A document's stratum: by number of words.
+#: A document's stratum, by number of words, and the strata in order.
 STRATUM = "case when n_words < 50 then 'short' when n_words < 500 then 'middle' else 'long' end"
+STRATA = ("short", "middle", "long")
+#: Quantiles of good documents that are tried as cutoffs, in this order.
+LEVELS = (1.0, 0.9998, 0.9995, 0.999, 0.998, 0.995, 0.99)
 
 
-#: Least share of the bad documents of a stratum that a cutoff must reject.
+#: Least share of the bad documents of a stratum that a feature must reject at the last level to be used there.
 USEFUL = 0.02
 
 
@@ -131,37 +144,58 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95, quantiles: tuple[float, ...] = (0.99, 0.995, 0.998, 0.999, 1.0)) -> dict[tuple[str, str], float]:
-    """(stratum, feature) -> accepted cutoff, from all rows with doc_id, stratum, quality and FEATURES.
-
-    With ``confidence``, the accepted cutoffs of a stratum together reject at most
-    ``risk`` of its good documents: each feature may use an equal part. Quantiles
-    and error counts are exact; the driver gets them only, a few for each
-    stratum, feature and candidate. Cutoffs that would reject under USEFUL of the
-    labelled bad documents are not accepted: they would add risk and little use.
-    Returns nothing for strata without labels.
+def merged_strata(proofs: dict[str, int], least: int) -> list[list[str]]:
+    """STRATA in groups of neighbours with ``least`` proving documents each, if all together have as many; else none."""
+    groups: list[list[str]] = []
+    for stratum in STRATA:
+        if groups and sum(proofs.get(s, 0) for s in groups[-1]) < least:
+            groups[-1].append(stratum)
+        else:
+            groups.append([stratum])
+    if len(groups) > 1 and sum(proofs.get(s, 0) for s in groups[-1]) < least:
+        groups[-2:] = [groups[-2] + groups[-1]]
+    return [g for g in groups if sum(proofs.get(s, 0) for s in g) >= least]
+
+
+def fit_cutoffs(labelled: DataFrame, risk: float = 0.01, confidence: float = 0.95) -> dict[tuple[str, str], float]:
+    """(stratum, feature) -> cutoff, from all rows with doc_id, stratum, quality and FEATURES.
+
+    With ``confidence``, the cutoffs of each stratum (or of strata merged for
+    want of labels) together reject at most ``risk`` of its good documents.
+    Quantiles and error counts are exact; the driver gets them only, a few for
+    each stratum, feature and level. Features are chosen by the bad documents and
+    the proposing half, never by the proving half. Returns nothing where labels
+    are too few for the bound even without an error.
     """
-    tests = 3 * len(FEATURES) * len(quantiles)
+    alpha = (1 - confidence) / len(STRATA)
+    least = ceil(log(alpha) / log1p(-risk))
     role = F.when(F.col("quality") == 0, "bad").when(hash_half(F.col("doc_id")) == 0, "propose").otherwise("prove")
-    values = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES)))
-    long = labelled.where("quality in (0, 1)").select("stratum", role.alias("role"), values.alias("x")).select(F.concat_ws(":", "stratum", "x.feature").alias("rule"), "role", "x.value")
-    counts = materialize(long.groupBy("rule", "role", "value").agg(F.count(F.lit(1)).alias("n")), "labelled")
-    found = _quantiles(counts.where("role = 'propose'"), quantiles)
-    above = [
-        F.sum(F.when((F.col("role") == r) & (F.col("value") > F.create_map(*(F.lit(x) for rule, c in found.items() for x in (rule, c[k])))[F.col("rule")]), F.col("n")).otherwise(0)).alias(f"{r}{k}")
-        for k in range(len(quantiles)) for r in ("prove", "bad")
-    ] if found else []
-    of = [F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(r) for r in ("prove", "bad")]
-    rows = counts.where(F.col("rule").isin(list(found))).groupBy("rule").agg(*of, *above).collect() if found else []
-    discard(counts)
+    told = materialize(labelled.where("quality in (0, 1)").select("stratum", role.alias("role"), *(F.col(f).cast("double").alias(f) for f in FEATURES)), "labelled")
+    groups = merged_strata({r["stratum"]: r["n"] for r in told.where("role = 'prove'").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}, least)
+    name = reduce(lambda out, g: F.when(F.col("stratum").isin(g), "+".join(g)).otherwise(out), groups, F.lit(None).cast("string"))
+    rows = told.withColumn("group", name).where("group is not null")
+    values = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES)))
+    propose = rows.where("role = 'propose'").select("group", values.alias("x")).select(F.concat_ws(":", "group", "x.feature").alias("rule"), "x.value")
+    counts = materialize(propose.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")), "proposed")
+    levels = _quantiles(counts, LEVELS) if groups else {}
+    over = lambda f, k: reduce(lambda out, g: F.when(F.col("group") == g, F.col(f) > levels[f"{g}:{f}"][k]).otherwise(out), [g for g in map("+".join, groups) if f"{g}:{f}" in levels], F.lit(False))
+    share = lambda cond: F.coalesce(F.avg(cond.cast("double")), F.lit(0.0))
+    caught = rows.where("role = 'bad'").groupBy("group").agg(*(share(over(f, -1)).alias(f) for f in FEATURES)).collect() if levels else []
+    used = {r["group"]: [f for f in FEATURES if r[f] >= USEFUL and f"{r['group']}:{f}" in levels] for r in caught}
+    any_over = lambda k: reduce(lambda out, g: F.when(F.col("group") == g, reduce(lambda a, b: a | b, (F.col(f) > levels[f"{g}:{f}"][k] for f in used[g]), F.lit(False))).otherwise(out), used, F.lit(False))
+    errors = [F.count_if(any_over(k)).alias(f"e{k}") for k in range(len(LEVELS))]
+    proofs = rows.where("role = 'prove'").groupBy("group", "stratum").agg(F.count(F.lit(1)).alias("n"), *errors).collect() if used else []
+    discard(told, counts)
     out: dict[tuple[str, str], float] = {}
-    for row in rows:
-        stratum, feature = row["rule"].split(":")
-        for k, cutoff in enumerate(found[row["rule"]]):
-            useful = row["bad"] > 0 and row[f"bad{k}"] / row["bad"] >= USEFUL
-            if useful and upper_bound(row[f"prove{k}"], row["prove"], (1 - confidence) / tests) <= risk / len(FEATURES):
-                out[stratum, feature] = cutoff
-                break
+    for g, features in used.items():
+        own = [r for r in proofs if r["group"] == g]
+        n = sum(r["n"] for r in own)
+        passed = -1
+        # A stratum merged with others must keep the risk on its own labels too, though these few cannot prove it.
+        while passed + 1 < len(LEVELS) and upper_bound(sum(r[f"e{passed + 1}"] for r in own), n, alpha) <= risk and all(r[f"e{passed + 1}"] <= risk * r["n"] for r in own):
+            passed += 1
+        if passed >= 0:
+            out |= {(s, f): levels[f"{g}:{f}"][passed] for s in g.split("+") for f in features}
     return out
 
 
@@ -207,7 +241,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.01, confi
     """Counts, base_failed, rule (the first accepted cutoff broken, else null) and kept for every row of ``docs``.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); documents with repeated or
-    null labels count once at most (a bad label wins). base_failed: fewer than 10
+    null labels count once at most (a bad label wins); of rows that share a
+    doc_id one is taken for its label. base_failed: fewer than 10
     words, or more than 20 % of the words in repeated windows. With too few
     labels no cutoff is accepted and only base_failed rejects. An empty table
     gives an empty result.
