@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, and their edge cases."""
 
 import hashlib
+import math
 import re
 import time
 from collections import Counter, defaultdict
@@ -115,6 +116,65 @@ def test_language_model_keeps_every_gram(spark):
     assert np.allclose(got.entropy, want.entropy, atol=1e-4)
 
 
+def test_language_limits_do_not_follow_odd_rows():
+    import pandas as pd
+
+    rows = [("en", 5, 200, 30_000), ("en", 5, 230, 5_000), ("en", 5, 900, 2), ("en", 8, 210, 50), ("fr", 3, 400, 7)]
+    limits = langid._limits(pd.DataFrame(rows, columns=["lang_pred", "length", "step", "n"]))
+    assert abs(limits["en", 5] - 2.56) < 1e-9
+    assert abs(limits["en", 8] - 2.36) < 1e-9
+    assert limits["en", 12] == limits["en", 5] == limits["en", 0]
+    assert limits["fr", 3] == limits["fr", 12]
+
+
+def test_kneser_ney_against_an_independent_one(docs):
+    """Cross-entropies by plain recursion over dictionaries, from the documented formulas."""
+    rows = [(r.lang, r.text) for r in docs.select("lang", "text").limit(12).collect()]
+    normal = lambda t: "    " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower() + " ")).lstrip(" ")
+    counts = Counter()
+    for lang, text in rows:
+        chars = normal(text)
+        counts.update((lang, chars[i : i + 5]) for i in range(len(chars) - 4))
+    levels = {5: counts}
+    for n in (4, 3, 2, 1):
+        levels[n] = Counter((lang, g[1:]) for lang, g in levels[n + 1])
+    letters = {g for _, g in levels[1]}
+    langs = sorted({lang for lang, _ in rows})
+    discount, sums = {}, {}
+    for n, level in levels.items():
+        for lang in langs:
+            own = [c for (la, _), c in level.items() if la == lang]
+            ones, twos = own.count(1), own.count(2)
+            discount[n, lang] = ones / (ones + 2 * twos) if ones else 0.5
+        total, kinds = Counter(), Counter()
+        for (lang, g), c in level.items():
+            total[lang, g[:-1]] += c
+            kinds[lang, g[:-1]] += 1
+        sums[n] = total, kinds
+
+    def chance(lang, gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(letters) + 1)
+        total, kinds = sums[n][0][lang, gram[:-1]], sums[n][1][lang, gram[:-1]]
+        if not total:
+            return chance(lang, gram[1:])
+        d = discount[n, lang]
+        weight = max(d * kinds / total, 1e-6)
+        return max(levels[n].get((lang, gram), 0) - d, 0) / total + weight * chance(lang, gram[1:])
+
+    import pandas as pd
+
+    model = langid.estimate(pd.DataFrame([(la, g, c) for (la, g), c in counts.items()], columns=["lang", "gram", "n"]))
+    tried = ["The quick brown fox", "Der schnelle Fuchs", "zzz", rows[0][1][:300]]
+    got, _ = model.cross_entropies(tried)
+    for text, row in zip(tried, got, strict=True):
+        chars = normal(text)
+        for lang, value in zip(model.languages, row, strict=True):
+            want = -sum(math.log(chance(lang, chars[i : i + 5])) for i in range(len(chars) - 4)) / (len(chars) - 4)
+            assert abs(value - want) < 1e-3
+
+
 def test_language_edges(odd, empty):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
@@ -460,43 +520,113 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
 
 
+def all_counts(text):
+    return *quality_counts(text), sum("A" <= c <= "Z" for c in text or ""), sum(c in "!?" for c in text or "")
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_quality_counts_against_brute_force(request, which):
     df = request.getfixturevalue(which)
     got = rows_of(quality.quality_counts(df), "doc_id", *quality.COUNTS)
-    assert got == sorted(((r.doc_id, *quality_counts(r.text)) for r in df.select("doc_id", "text").collect()), key=repr)
-
-
-def test_quality_cutoffs_keep_their_risk(spark):
-    rng = np.random.default_rng(2)
-    n = 8000
-    rate = np.concatenate([rng.uniform(0, 10, n), rng.uniform(0, 10, 100), rng.uniform(50, 90, 400)])
-    mark = [1] * n + [0] * 500
-    rows = [(i, "long", m, float(r), 0.0, 0.0, 0.0) for i, (m, r) in enumerate(zip(mark, rate, strict=True))]
-    df = spark.createDataFrame(rows, "doc_id long, stratum string, quality int, symbol_rate double, dup_line_rate double, repeat_rate double, word_length double")
-    cut = quality.fit_cutoffs(df)
-    assert set(cut) == {("long", "symbol_rate")}
-    wrong = sum(r > cut["long", "symbol_rate"] for r in rate[:n]) / n
-    assert wrong <= 0.01
-    assert quality.fit_cutoffs(df.limit(40)) == {}
+    assert got == sorted(((r.doc_id, *all_counts(r.text)) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+def half_by_hand(doc_id):
+    return (doc_id * 0x9E3779B97F4A7C15) >> 40 & 1
+
+
+def cutoffs_by_hand(rows, risk, confidence):
+    """The documented procedure over plain rows (doc_id, stratum, quality and features)."""
+    alpha = (1 - confidence) / 3
+
+    def proven(errors, n):
+        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(risk) + (n - i) * math.log(1 - risk) for i in range(errors + 1)]
+        return errors < n and sum(map(math.exp, terms)) <= alpha
+
+    prove = [r for r in rows if r["quality"] == 1 and half_by_hand(r["doc_id"])]
+    propose = [r for r in rows if r["quality"] == 1 and not half_by_hand(r["doc_id"])]
+    groups = [[]]
+    for s in ("short", "middle", "long"):
+        groups[-1].append(s)
+        if proven(0, sum(r["stratum"] in groups[-1] for r in prove)):
+            groups.append([])
+    if len(groups) > 1:
+        last = groups.pop()
+        groups[-1] += last
+    out = {}
+    for g in groups:
+        pick = lambda part: [r for r in part if r["stratum"] in g]  # noqa: B023, E731
+        bad, good = pick([r for r in rows if r["quality"] == 0]), pick(prove)
+        if not pick(propose) or not proven(0, len(good)):
+            continue
+        at = [{f: float(np.quantile([r[f] for r in pick(propose)], q, method="higher")) for f in quality.FEATURES} for q in quality.LEVELS]
+        used = [f for f in quality.FEATURES if bad and sum(r[f] > at[-1][f] for r in bad) / len(bad) >= 0.02]
+        best = None
+        for cut in at:
+            wrong = lambda part: sum(any(r[f] > cut[f] for f in used) for r in part)  # noqa: B023, E731
+            members = [[r for r in good if r["stratum"] == s] for s in g]
+            if not proven(wrong(good), len(good)) or any(wrong(m) > risk * len(m) for m in members):
+                break
+            best = cut
+        if best:
+            out |= {(s, f): best[f] for s in g for f in used}
+    return out
+
+
+FEATURE_COLUMNS = "doc_id long, stratum string, quality int, " + ", ".join(f"{f} double" for f in quality.FEATURES)
+
+
+def labelled_rows(n, bad, seed, strata=("long",), weights=None):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n + bad):
+        values = rng.gamma(2.0, 3.0, len(quality.FEATURES)) + (rng.integers(0, 2, len(quality.FEATURES)) * 40 if i >= n else 0)
+        rows.append({"doc_id": i * 7, "stratum": str(rng.choice(strata, p=weights)), "quality": int(i < n)} | dict(zip(quality.FEATURES, map(float, values), strict=True)))
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "risk", "confidence"), [
+    (labelled_rows(6000, 500, 1), 0.01, 0.95),
+    (labelled_rows(9000, 900, 2, ("short", "middle", "long"), (0.1, 0.7, 0.2)), 0.01, 0.95),
+    (labelled_rows(3000, 200, 3, ("short", "middle", "long"), (0.02, 0.9, 0.08)), 0.02, 0.9),
+    (labelled_rows(60, 9, 4), 0.01, 0.95),
+], ids=["one stratum", "three strata", "merged strata", "too few"])
+def test_quality_cutoffs_against_brute_force(spark, rows, risk, confidence):
+    cut = quality.fit_cutoffs(spark.createDataFrame([tuple(r.values()) for r in rows], FEATURE_COLUMNS), risk, confidence)
+    assert cut == cutoffs_by_hand(rows, risk, confidence)
+    assert bool(cut) == (len(rows) > 100)
+    good = [r for r in rows if r["quality"]]
+    assert sum(any(r[f] > c for (s, f), c in cut.items() if s == r["stratum"]) for r in good) / len(good) <= 1.5 * risk
+    bad = [r for r in rows if not r["quality"]]
+    assert not cut or sum(any(r[f] > c for (s, f), c in cut.items() if s == r["stratum"]) for r in bad) / len(bad) > 0.5
+
+
+def test_binomial_bounds():
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-6
+    assert abs(quality.binomial_cdf(25_000, 10_000_000, 0.0025) - 0.5) < 0.01
+    assert quality.merged_strata({"short": 3, "middle": 500, "long": 20}, 400) == [["short", "middle", "long"]]
+    assert quality.merged_strata({"short": 500, "middle": 500, "long": 20}, 400) == [["short"], ["middle", "long"]]
+    assert quality.merged_strata({"middle": 20}, 400) == []
 
 
-def test_quality_cutoffs_use_all_labels(spark):
-    """With long texts a fifth of the labels, 20,000 rows are too few to prove a cutoff of theirs; the quantiles are exact."""
-    n = 60_000
-    mixed = spark.range(n).select(
-        F.col("id").alias("doc_id"), F.expr("case id % 5 when 0 then 'long' when 1 then 'short' else 'middle' end").alias("stratum"), F.expr("cast(id % 50 >= 5 as int)").alias("quality"),
-        F.expr("case when id % 50 < 5 then 500.0D + id % 7 else (id * 7919 % 60013) / 6001.0D end").alias("symbol_rate"), *(F.lit(0.0).alias(f) for f in ("dup_line_rate", "repeat_rate", "word_length")),
-    )
-    cut = quality.fit_cutoffs(mixed)
-    assert set(cut) == {(s, "symbol_rate") for s in ("long", "short", "middle")}
-    rows = mixed.toPandas()
-    half = [((d * 0x9E3779B97F4A7C15) >> 40) & 1 for d in range(n)]
-    for (stratum, feature), value in cut.items():
-        good = rows[(rows.stratum == stratum) & (rows.quality == 1) & (np.array(half) == 0)][feature]
-        assert value in {float(np.quantile(good, q, method="higher")) for q in (0.99, 0.995, 0.998, 0.999, 1.0)}
-    assert abs(quality.binomial_cdf(25_000, 10_000_000, 0.0025) - 0.5) < 0.01
+def test_quality_verdicts_against_brute_force(spark, docs, local, sf_dir):
+    """kept of every document, with cutoffs that the few labels here can prove."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = {}
+    for r in local.itertuples():
+        n, chars, symbols, dup, repeat = quality_counts(r.text)
+        capitals, shouts = sum("A" <= c <= "Z" for c in r.text), sum(c in "!?" for c in r.text)
+        d = max(n, 1)
+        features = dict(zip(quality.FEATURES, (symbols * 1000 / d, dup * 1000 / d, repeat * 1000 / d, abs(chars / d - 5), capitals * 1000 / max(chars, 1), shouts * 1000 / d), strict=True))
+        rows[r.doc_id] = {"doc_id": r.doc_id, "stratum": "short" if n < 50 else "middle" if n < 500 else "long", "failed": n < 10 or 100 * repeat > 20 * n} | features
+    known = [r | {"quality": marks[d]} for d, r in rows.items() if d in marks and not r["failed"]]
+    cut = cutoffs_by_hand(known, 0.15, 0.5)
+    assert cut
+    expected = {d: not r["failed"] and not any(r[f] > c + 1e-9 for (s, f), c in cut.items() if s == r["stratum"]) for d, r in rows.items()}
+    got = {r.doc_id: r.kept for r in quality.quality_filter(docs, labels, 0.15, 0.5).collect()}
+    assert got == expected
+    assert sum(not k and not rows[d]["failed"] for d, k in expected.items()) > 0
 
 
 def test_quality_edges(spark, odd, empty, sf_dir):
