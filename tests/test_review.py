@@ -104,6 +104,29 @@ def test_completeness(spark):
     assert score["b"].score == 0
 
 
+#: Two plans whose scores are published: type, chapter titles, filled fields beside three methods and a project name, sections that are there, and the score.
+PLANS = {
+    "plumbing": ("给排水管道施工方案", ("工程概况", "编制依据及主要施工方案", "施工进度计划", "施工准备", "主要材料进场计划", "施工方法", "质量标准及保护措施", "文明施工与环境保护措施", "施工部署及劳动力配置"), ("schedule.duration_days", "compilation_basis[0]", "main_materials[0]"), ("quality", "safety", "environment"), 82),
+    "scaffold": ("悬挑脚手架工程专项施工方案", ("工程概况", "编制说明及依据", "脚手架工程施工进度计划", "材料与设备计划", "施工工艺技术", "安全保证措施", "应急处置措施", "文明施工与绿色施工措施", "施工组织管理", "项目管理人员职责分工表", "附图及计算书"), ("compilation_basis[0]", "main_materials[0]"), ("quality", "safety", "environment", "emergency"), 77),
+}
+
+
+def test_published_completeness_scores(spark):
+    docs = spark.createDataFrame([(name, plan[0]) for name, plan in PLANS.items()], "doc string, kind string")
+    chapters = spark.createDataFrame([(name, t, i) for name, plan in PLANS.items() for i, t in enumerate(plan[1])], "doc string, title string, page int")
+    fields = [(name, path, "x") for name, plan in PLANS.items() for path in ("project.project_name", *(f"main_methods[{i}]" for i in range(3)), *plan[2])]
+    fields += [(name, f"section_presence.{s}", str(s in plan[3]).lower()) for name, plan in PLANS.items() for s in ("quality", "safety", "environment", "emergency")]
+    fields += [("plumbing", "project.location", "  "), ("plumbing", "schedule.plan_start_date", None)]
+    evidence = CP.chapter_evidence(chapters, "doc").union(CP.field_evidence(spark.createDataFrame(fields, "doc string, path string, value string"), "doc"))
+    rows = CP.checks(evidence, "doc", docs, CP.profile(F.col("kind")) == "special_construction_plan")
+    status = {(r.doc, r.check_id): r.status for r in rows.collect()}
+    assert {r.doc: r.score for r in CP.score(rows, "doc").collect()} == {name: plan[4] for name, plan in PLANS.items()}
+    assert [status["plumbing", f"CR-{i:03}"] for i in (1, 8, 9, 11, 12, 14)] == ["PASS", "PARTIAL", "NOT_APPLICABLE", "PARTIAL", "MISSING", "NOT_APPLICABLE"]
+    assert [status["scaffold", f"CR-{i:03}"] for i in (3, 7, 9, 11, 12, 13, 14)] == ["PARTIAL", "PARTIAL", "PASS", "PASS", "MISSING", "NOT_APPLICABLE", "PASS"]
+    without = CP.checks(evidence.where("check_id <> 'CR-009'"), "doc", docs, CP.profile(F.col("kind")) == "special_construction_plan").where("check_id = 'CR-009'").collect()
+    assert {r.doc: r.status for r in without} == {"plumbing": "NOT_APPLICABLE", "scaffold": "MISSING"}
+
+
 def test_quality_lines(spark):
     box = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
     lines = spark.createDataFrame([("p", "a", "6.1.2 立杆", 0.95, box(0.0, 0.0, 100.0, 10.0)), ("p", "b", "正文内容很长很长", 0.6, box(0.0, 20.0, 100.0, 10.0)), ("p", "c", "3", 0.9, box(0.0, 41.0, 5.0, 10.0)), ("p", "d", "列表内容", 0.9, box(10.0, 40.0, 90.0, 10.0)), ("p", "e", "印章", 0.9, box(0.0, 60.0, 60.0, 30.0)), ("p", "f", "1,2,3 错误", 0.3, box(0.0, 100.0, 90.0, 10.0))], "page string, line_id string, text string, confidence double, polygon array<array<double>>")
