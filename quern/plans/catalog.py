@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import facts, retrieval, review, scripted, standards, structure  # noqa: F401
+from quern.plans import facts, findings, retrieval, review, scripted, standards, structure  # noqa: F401
 from quern.plans.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
