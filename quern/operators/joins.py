@@ -25,6 +25,22 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: C
     return pairs.select(*own, *([] if how in ("left_semi", "left_anti") else [F.col(f"b.{c}") for c in right.columns if c not in keys]))
 
 
+def against(rows: DataFrame, key: str, queries: DataFrame, block: int = 64) -> DataFrame:
+    """Every row with every query of a stated set, in blocks: an equality join by block and salt.
+
+    Queries (with query_id) are dealt over blocks of about ``block``, each one row
+    with an array; a row goes to each block once, to a salt by its ``key``, so that
+    no task gets all rows of a block. The set is what grows the work.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    dealt = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct(*queries.columns)).alias("__queries"))
+    dealt = dealt.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sent = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    met = sent.join(dealt, ["__block", "__salt"])
+    return met.select(*rows.columns, F.explode("__queries").alias("__q")).select(*rows.columns, "__q.*")
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: Column, first: Column, last: Column, width: float) -> DataFrame:
     """Points with the intervals that hold them (ends included): intervals are dealt to the buckets they touch, a point lies in one."""
     a = points.withColumn("__p", point).withColumn("__b", F.floor(F.col("__p") / width))

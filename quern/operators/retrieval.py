@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.joins import against
+
 #: BM25, fusion, boosts (before the division by 100 in reranking) and acceptance levels.
 K1, B = 1.5, 0.75
 FIELD_WEIGHTS = {"content": 3, "number": 5, "chapter": 2, "name": 1}
@@ -90,10 +92,10 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score and rank of the k nearest by cosine > 0; ``queries``: a stated set with query_id and query.
 
-    Every vector meets every query of the stated set, so the set is what grows
-    the work, not the square of the table. Ties go by vec_id.
+    Every vector meets every query of the stated set, in blocks, so the set is what
+    grows the work, not the square of the table. Ties go by vec_id.
     """
-    pairs = vectors.join(queries, F.col("vec_id") != F.col("query_id"))
+    pairs = against(vectors, "vec_id", queries).where("vec_id <> query_id")
     scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score")).where("score > 0")
     return top_ranks(scored, [F.desc("score"), F.asc("vec_id")], k)
 

@@ -83,3 +83,42 @@ def source_pages(items: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
     at = F.greatest(F.lit(1), F.instr(F.col("__t"), F.col("__n")))
     best = met.groupBy(doc, "item").agg(F.max_by(F.struct("page_number", F.substring(F.col("__t"), at, F.lit(SNIPPET)).alias("snippet")), F.struct("score", -F.col("page_number"))).alias("b"))
     return items.join(best.select(doc, "item", "b.page_number", "b.snippet"), [doc, "item"], "left")
+
+
+def construction_child(chapters: DataFrame, doc: str, order: str) -> DataFrame:
+    """chapters (doc, order, title, level) with ``construction``: whether the chapter right above it by level holds methods and none that never do.
+
+    The parent is the last chapter before with a smaller level; it must be one level up.
+    """
+    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    level = F.coalesce("level", F.lit(1))
+    parent = F.lit(None).cast("struct<l:int,t:string>")
+    for n in range(2, 7):
+        above = F.last(F.when(level < n, F.struct(level.cast("int").alias("l"), F.col("title").alias("t"))), ignorenulls=True).over(before)
+        parent = F.when(level == n, above).otherwise(parent)
+    holds = F.regexp_like(parent["t"], F.lit(METHOD_PARENTS)) & ~F.regexp_like(parent["t"], F.lit(EXCLUDED_PARENTS))
+    return chapters.withColumn("construction", F.coalesce((level == parent["l"] + 1) & holds, F.lit(False)))
+
+
+def plain_work_name(name: Column) -> Column:
+    """A work item's name up to a colon, without a closing 施工, 工程 or 安装, white space and punctuation."""
+    head = F.regexp_replace(F.get(F.split(F.trim(name), "[：:]", 2), F.lit(0)), "(?:施工|工程|安装)$", "")
+    return F.regexp_replace(head, r"(?U)[\s、，,。；;：:（）()]+", "")
+
+
+def same_work_item(a: Column, b: Column) -> Column:
+    """Equal plain names, or one of four characters or more that starts the other; the water part of a building also names its supply system."""
+    part, system = "给水部分", "生活给水系统"
+    water = ((a == part) & F.contains(b, F.lit(system))) | ((b == part) & F.contains(a, F.lit(system)))
+    return (a == b) | water | ((F.least(F.length(a), F.length(b)) >= 4) & (F.startswith(a, b) | F.startswith(b, a)))
+
+
+#: How the first line of a numbered method and of a numbered work item begins.
+NUMBERED_METHOD, NUMBERED_WORK = r"^\s*[0-9]+(?:\.[0-9]+)*[、.．]", r"^\s*[（(]?[0-9]+[）)]?、"
+
+
+def verified_sources(items: DataFrame, pages: DataFrame, doc: str, numbered: str = NUMBERED_METHOD) -> DataFrame:
+    """items (doc, page_number, source_text) with ``verified``: whether the first line is numbered and stands on the page that the item names."""
+    first = F.get(F.split(T.strip(F.coalesce("source_text", F.lit(""))), T.LINE_END, 2), F.lit(0))
+    met = items.join(pages.select(doc, "page_number", F.col("text").alias("__t")), [doc, "page_number"], "left")
+    return met.withColumn("verified", F.coalesce(F.regexp_like(first, F.lit(numbered)) & F.contains(F.col("__t"), first), F.lit(False))).drop("__t")

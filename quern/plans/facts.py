@@ -311,7 +311,7 @@ def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, len(regexp_extract_all(lower(text), '[a-z]+(?:/[a-z]+)?|[0-9]+(?:[.-][0-9]+)*')) as n_tokens, length(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) as squeezed,
  length(regexp_replace(text, '\s+', '', 'g')) as compact, regexp_extract(text, '((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})', 1) as date from documents""")
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised forms of texts, measured."""
+    """Sizes of plain forms of texts; text_forms runs F01 to F07."""
     t = F.col("text")
     squeezed = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n")
     tokens = F.regexp_count(F.lower(t), F.lit(T.ASCII_TOKEN))
@@ -342,7 +342,7 @@ def number_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 select n_name, s.n as suppliers, c.n as customers from nation left join (select s_nationkey as k, count(*) as n from supplier where s_acctbal > 0 group by 1) s on s.k = n_nationkey
 left join (select c_nationkey as k, count(*) as n from customer where c_mktsegment in ('BUILDING', 'MACHINERY') group by 1) c on c.k = n_nationkey where lower(n_name) like '%a%'""")
 def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filtered registry with counted members."""
+    """A filtered listing with counted members; registry_entries and registry_scopes run the registry."""
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
     c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
     return table(spark, sf_dir, "nation").where(F.lower("n_name").like("%a%")).join(s, "n_nationkey", "left").join(c, "n_nationkey", "left").select("n_name", "suppliers", "customers")

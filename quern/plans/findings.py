@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.operators import findings as FI
 from quern.operators import registry as RG
+from quern.operators import vectors as VS
 from quern.plans.common import query, table
+from quern.sources import pages as PG
 
 _SCOPE = "LOCAL_REQUIREMENT"
 SQL_FOUND = f"""
@@ -199,3 +201,43 @@ def plan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     run = FI.review_plan(spans, evidence.where("article_text is not null"), spark.range(1).select(F.lit("GB55023-2022").alias("code")))
     return run.select(c("span_id").alias("p_partkey"), "route", "trace_state", "decision", "reason_code", "finding_state")
+
+
+SQL_STORE = "s as (select vec_id, embedding[1] as first, len(embedding) as dim from embeddings where label <> 1 and vec_id % 10 <> 0 union all select vec_id, embedding[1] * 2, 2 from embeddings where vec_id % 10 = 0)"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    new = rows.where("vec_id % 10 = 0").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x * F.lit(2).cast("float")).alias("embedding"))
+    return VS.upsert(VS.delete(rows.select("vec_id", "embedding"), rows.where("label = 1").select("vec_id")), new)
+
+
+@query(f"with {SQL_STORE} select vec_id, first, dim from s")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of vectors after deletions and replacements."""
+    return _store(spark, sf_dir).select("vec_id", F.get("embedding", F.lit(0)).alias("first"), F.size("embedding").cast("long").alias("dim"))
+
+
+@query(f"with {SQL_STORE} select count(*) as n, min(dim) as least_dim, max(dim) as most_dim, min(vec_id) as first_id, max(vec_id) as last_id, 0::bigint as n_unusable from s")
+def vector_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds."""
+    return VS.manifest(_store(spark, sf_dir))
+
+
+_UUID = "substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21, 12)"
+
+
+@query(f"select c_custkey, case when c_custkey % 5 = 0 then 'MALFORMED' when c_custkey % 3 = 0 then 'FOUND' else 'NOT_FOUND' end as lookup from (select c_custkey, {_UUID} as id from customer)")
+def plan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored plans by ids of the right shape."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_UUID).alias("id"))
+    asked = rows.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.substring("id", 2, 35)).otherwise(F.col("id")).alias("document_id"))
+    return PG.lookup(asked, rows.where("c_custkey % 3 = 0").select(F.col("id").alias("document_id"))).select("c_custkey", "lookup")
+
+
+@query("select l_orderkey, l_linenumber as page_number from lineitem union select l_orderkey, l_suppkey % 9 from lineitem where l_returnflag = 'R'")
+def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with text or a structural position."""
+    rows = table(spark, sf_dir, "lineitem")
+    positions = rows.where("l_returnflag = 'R'").select("l_orderkey", (F.col("l_suppkey") % 9).alias("page_number"))
+    return PG.page_numbers(rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("page_number")), positions, "l_orderkey")

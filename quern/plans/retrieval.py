@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import joins as J
 from quern.operators import retrieval as R
 from quern.plans.common import SQL_TOKENS, query, table
 
@@ -77,7 +78,7 @@ select query_id, doc_id, boost, row_number() over (partition by query_id order b
 def exact_boost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosts by whole sentences, source name and token overlap."""
     asked = _asked(spark, sf_dir).select("query_id", "query", F.col("tokens").alias("qt"), _phrases(F.col("query")).alias("phrases"))
-    pairs = _docs(spark, sf_dir).join(asked, F.lit(True))
+    pairs = J.against(_docs(spark, sf_dir), "doc_id", asked)
     parts = {"phrases": F.col("phrases"), "numbers": F.array().cast("array<string>"), "text": F.col("query"), "tokens": F.col("qt")}
     boost = R.exact_boost(parts, F.col("text"), F.col("tokens"), F.lit(""), F.col("source"))
     scored = pairs.select("query_id", "doc_id", F.round(boost, 6).alias("boost")).where("boost > 0")

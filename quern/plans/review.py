@@ -70,7 +70,7 @@ k as (select doc_id, case when conditional then 'CONDITIONAL_UNSUPPORTED' when c
 g as (select doc_id, count(*) as atoms, count(*) filter (reason = 'PROVEN') as proven from k group by 1)
 select doc_id, atoms, proven, case when proven = 0 then 'UNRESOLVED' when proven < atoms then 'PARTIAL' else 'DECOMPOSED' end as status from g""")
 def requirement_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R03, F11, F14, P12 with ASCII cues: spans and why they are no requirement; the CJK rules have fixture tests."""
+    """R03 with ASCII cues: how many spans of a text are requirements; requirement_decomposition runs the rules."""
     from quern.functions import text as T
 
     parts = F.filter(F.transform(F.split(F.regexp_replace("text", "([.;])", "$1\u0001"), "\u0001"), lambda x: T.strip(x)), lambda x: x != "")
@@ -86,7 +86,7 @@ def requirement_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 with f as (select event_id, regexp_extract_all(props, '[0-9]+') as v from events)
 select event_id, case when len(v) = 1 then 'PROVEN' when len(v) > 1 then 'AMBIGUOUS' else 'UNSUPPORTED' end as parsing_status, case when len(v) = 1 then cast(v[1] as bigint) end as value from f""")
 def plan_fact_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """None, one or many numbers in a text."""
+    """none, one or many numbers in a text; plan_fact_extraction runs the reject chain."""
     fact = V.plan_fact(F.col("props"), "([0-9]+)()")
     return table(spark, sf_dir, "events").select("event_id", fact.alias("f")).select("event_id", "f.parsing_status", F.col("f.value").cast("long").alias("value"))
 
@@ -131,7 +131,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SQL_STATES} select * from t")
 def terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each candidate's review ends."""
+    """Where each candidate's review ends; plan_findings builds findings."""
     return _states(spark, sf_dir)
 
 

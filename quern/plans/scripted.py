@@ -18,6 +18,7 @@ from quern.functions import text as T
 from quern.operators import completeness as CP
 from quern.operators import consistency as CO
 from quern.operators import review as V
+from quern.operators import workitems as W
 from quern.plans.common import query, table
 
 
@@ -176,3 +177,38 @@ def plan_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc")).distinct()
     special = CP.profile(F.when(F.col("doc") % 2 == 0, "深基坑专项施工方案").otherwise("施工方案")) == "special_construction_plan"
     return CP.score(CP.checks(_plan_evidence(spark, sf_dir), "doc", docs, special), "doc")
+
+
+scripted(
+    "work_names", ("plain", "same"), (
+        ("给水管道安装施工", "给水管道安装", True), ("给水管道安装", "给水管道", True), ("生活给水系统：立管", "生活给水系统", False), ("立杆 搭设（一）工程", "立杆搭设一", False), ("给水", "给水", False), ("给水管道安装（主管）", "给水管道安装主管", True),
+    ),
+    "P33: plain names of work items, and which are the same as 给水管道安装.", lambda t: (W.plain_work_name(t), W.same_work_item(W.plain_work_name(t), F.lit("给水管道"))),
+)
+
+#: Chapters of a plan: title, level, and whether the chapter above it holds methods.
+OUTLINE = (("工程概况", 1, False), ("地质", 2, False), ("施工方法", 1, False), ("立杆搭设", 2, True), ("细部", 3, False), ("剪刀撑", 2, True), ("质量管理及施工方法", 1, False), ("检查", 2, False), ("过深", 4, False))
+
+
+@query(f"select p_size, p_partkey, construction from part join (values {', '.join(f'({i}, {str(c).lower()})' for i, (_, _, c) in enumerate(OUTLINE))}) v(i, construction) on p_partkey % {len(OUTLINE)} = i")
+def construction_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters right below one that holds methods; each run of parts is one plan."""
+    at = F.col("p_partkey") % len(OUTLINE)
+    pick = lambda i: F.element_at(F.array(*(F.lit(row[i]) for row in OUTLINE)), (at + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_size", "p_partkey", F.floor(F.col("p_partkey") / len(OUTLINE)).alias("plan"), pick(0).alias("title"), pick(1).alias("level"))
+    return W.construction_child(rows, "plan", "p_partkey").select("p_size", "p_partkey", "construction")
+
+
+#: What an item cites, and whether its page shows it: numbered first lines only.
+CITED = (("1、立杆搭设\n说明", "1、立杆搭设", True), ("立杆搭设", "立杆搭设", False), ("1.2．剪刀撑", "前文 1.2．剪刀撑 后文", True), ("2、水平杆", "别处", False), ("", "x", False), (None, "x", False))
+
+
+@query(f"select p_partkey, verified and p_partkey % 5 <> 0 as verified from part join (values {', '.join(f'({i}, {str(c).lower()})' for i, (_, _, c) in enumerate(CITED))}) v(i, verified) on p_partkey % {len(CITED)} = i")
+def verified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose numbered first line stands on the page that they name."""
+    at = (F.col("p_partkey") % len(CITED) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(row[i]) for row in CITED)), at)
+    part = table(spark, sf_dir, "part")
+    items = part.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, 2).otherwise(1).alias("page_number"), pick(0).alias("source_text"))
+    pages = part.select("p_partkey", F.lit(1).alias("page_number"), pick(1).alias("text"))
+    return W.verified_sources(items, pages, "p_partkey").select("p_partkey", "verified")

@@ -222,7 +222,7 @@ t as (select page_id, regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '^
 select page_id, regexp_extract(line, '^([A-Z][a-z]+)', 1) as number, length(line) as size, case when length(line) <= 60 and regexp_matches(line, '^[A-Z][a-z]+ ') and not regexp_matches(line, '(?:\.|,|;|:)$') then 1 else 2 end as level
 from t where line <> '' and length(line) <= 60""")
 def heading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P01, P02, P10 with ASCII rules: short lines by shape; the CJK grammars have fixture tests."""
+    """Short lines by shape, with ASCII rules; plan_headings and standard_headings run the grammars."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split(F.regexp_replace("html", "<(?:h[1-6]|p|li|title|div)[^>]*>", "\n"), "\n")).alias("raw"))
     line = T.strip(F.regexp_replace("raw", "<[^>]*>", ""))
     rows = rows.select("page_id", line.alias("line")).where((F.col("line") != "") & (F.length("line") <= 60))

@@ -76,3 +76,19 @@ def documents_of(pages: DataFrame) -> DataFrame:
     """One row a document: page_count, char_count and text (pages in order, joined by line ends). A document must fit one row."""
     parts = F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))))
     return pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"), F.sum(F.length("text")).alias("char_count"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+
+
+#: Fixed value: the shape of a stored document's id.
+DOCUMENT_ID = "^[0-9a-fA-F-]{36}$"
+
+
+def lookup(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked (document_id) with ``lookup``: MALFORMED, NOT_FOUND or FOUND among ``stored`` (document_id)."""
+    have = stored.select("document_id").distinct().withColumn("__have", F.lit(True))
+    state = F.when(~F.coalesce(F.regexp_like("document_id", F.lit(DOCUMENT_ID)), F.lit(False)), "MALFORMED").when(F.col("__have").isNull(), "NOT_FOUND").otherwise("FOUND")
+    return asked.join(have, "document_id", "left").withColumn("lookup", state).drop("__have")
+
+
+def page_numbers(text: DataFrame, structure: DataFrame, doc: str) -> DataFrame:
+    """doc and page_number of pages that have text or hold a structural position, each once."""
+    return text.select(doc, "page_number").union(structure.select(doc, "page_number")).distinct()
