@@ -15,8 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written: its shuffle files go as soon as it is there, and joins may hash a side that the run itself has measured to be small in every partition.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
+#: While a table is written: its shuffle files go as soon as it is there; joins may hash a side that the run itself has measured to be small in every partition; Python gets whole texts in small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -57,7 +57,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def byte_chunks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_chunks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of runs of rows with at most ``limit`` bytes, one row at least; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     if isinstance(texts, pa.ChunkedArray):
