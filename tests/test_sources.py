@@ -91,3 +91,30 @@ def test_streams(spark, sf_dir, tmp_path):
         q = df.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() > 0
+
+
+def test_manifests_are_strict(spark, tmp_path):
+    import hashlib
+
+    from quern.sources import manifest as MF
+
+    content = '{"b": [1, "é"], "a": {"x": null}}'.encode()
+    (tmp_path / "m.json").write_bytes(content)
+    digest = hashlib.sha256(content).hexdigest()
+    got = MF.load_manifest(spark, str(tmp_path / "m.json"), digest)
+    assert got == {"b": [1, "é"], "a": {"x": None}}
+    assert MF.canonical_sha256(got) == hashlib.sha256('{"a":{"x":null},"b":[1,"é"]}'.encode()).hexdigest()
+    for bad, pin in ((content, "0" * 64), (b'{"a": 1, "a": 2}', None), (b'{"a": NaN}', None), (b"[1]", None), (b"\xff", None), (b"{", None)):
+        with pytest.raises(MF.ManifestError):
+            MF.parse_manifest(bad, pin)
+    with pytest.raises(MF.ManifestError):
+        MF.load_manifest(spark, str(tmp_path / "m.json"), most=3)
+
+
+def test_bodies_of_headings(spark):
+    from quern.operators import workitems as W
+
+    rows = [("一、甲", "甲", 1), ("第一行", None, None), ("1.1 乙", "乙", 2), ("第二行", None, None), ("二、丙", "丙", 1), ("第三行" * 200, None, None), ("第四行", None, None)]
+    lines = spark.createDataFrame([("d", i, *r) for i, r in enumerate(rows)], "doc string, seq int, line string, t string, l int")
+    got = {r.title: r.body for r in W.bodies(lines, "doc", "seq", F.col("t"), F.col("l")).collect()}
+    assert got == {"甲": "第一行\n第二行", "乙": "第二行", "丙": ("第三行" * 200)[:300]}
