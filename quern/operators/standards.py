@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ids
 from quern.functions import text as T
+from quern.operators import regions as R
 from quern.operators import structure as S
 from quern.operators.joins import rows_after
 
@@ -70,6 +71,19 @@ def articles(lines: DataFrame, doc: str, order: Sequence[str]) -> DataFrame:
     return out.withColumn("ambiguous", before > 0)
 
 
+def parse(pages: DataFrame, doc: str, page: str, checksum: Column) -> DataFrame:
+    """The articles of standards from their pages (doc, page, text, and what ``checksum`` needs): article_id, article_number, region, page_start, page_end, content, sequence and ambiguous.
+
+    Page numbers and outer lines that repeat are left out first; regions and
+    articles run over pages. An empty table gives an empty result.
+    """
+    kept = S.strip_edges(pages.select(doc, page, "text"), doc, page).where(~T.is_page_number(F.col("line")))
+    lines = R.standard_regions(kept, doc, [page, "line_index"])
+    found = articles(lines, doc, [page, "line_index"]).join(pages.groupBy(doc).agg(F.min(checksum).alias("__sum")), doc)
+    placed = article_ids(found, F.col("__sum"))
+    return placed.select(doc, "article_id", "article_number", "region", F.col(f"first.{page}").alias("page_start"), F.col(f"last.{page}").alias("page_end"), "content", F.col("session").alias("sequence"), "ambiguous")
+
+
 def article_ids(rows: DataFrame, checksum: Column) -> DataFrame:
     """rows with article_id: a positional identity of what an article is and says."""
     return rows.withColumn("article_id", ids.positional_id("article_", checksum, F.upper("article_number"), F.col("region"), F.col("content")))

@@ -18,6 +18,8 @@ from quern.functions import text as T
 from quern.operators import completeness as CP
 from quern.operators import consistency as CO
 from quern.operators import review as V
+from quern.operators import standards as ST
+from quern.operators import structure as S
 from quern.operators import workitems as W
 from quern.plans.common import query, table
 
@@ -212,3 +214,69 @@ def verified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = part.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, 2).otherwise(1).alias("page_number"), pick(0).alias("source_text"))
     pages = part.select("p_partkey", F.lit(1).alias("page_number"), pick(1).alias("text"))
     return W.verified_sources(items, pages, "p_partkey").select("p_partkey", "verified")
+
+
+def _documents(spark: SparkSession, sf_dir: str, rows: Sequence[object]) -> DataFrame:
+    """Every len(rows) parts as one document: doc, at (from 0) and line."""
+    line = F.element_at(F.array(*map(F.lit, rows)), (F.col("p_partkey") % len(rows) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / len(rows)).alias("doc"), (F.col("p_partkey") % len(rows)).alias("at"), line.alias("line"))
+
+
+def _listed(rows: Sequence[object], columns: Sequence[str], expected: Sequence[tuple]) -> str:
+    """SQL of the ``expected`` rows, once for each document of :func:`_documents`."""
+    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in expected)
+    return f"select doc, {', '.join(columns)} from (select distinct p_partkey // {len(rows)} as doc from part), (values {values}) v({', '.join(columns)})"
+
+
+#: Pages of a standard, and its articles: number, region, pages, content, sequence, and whether the number came before.
+STANDARD = (
+    "某标准\n目 次\n1 总则.....3\n6 构造.....4\n1", "某标准\n1 总则\n1.0.1 为了安全\n2", "某标准\n6.1 构造\n6.1.1 立杆应设置\n6.1.2 水平杆\n3", "某标准\n应与立杆连接\n6.1.3 剪刀撑\n附录 A\nA.0.1 检验\n4", "某标准\n条文说明\n1.0.1 解释\n2024.10.01\n5",
+)
+ARTICLES = (
+    ("1.0.1", "NORMATIVE_BODY", 1, 1, "为了安全", 1, False), ("6.1.1", "NORMATIVE_BODY", 2, 2, "立杆应设置", 2, False), ("6.1.2", "NORMATIVE_BODY", 2, 3, "水平杆应与立杆连接", 3, False), ("6.1.3", "NORMATIVE_BODY", 3, 3, "剪刀撑", 4, False),
+    ("A.0.1", "APPENDIX", 3, 3, "检验", 5, False), ("1.0.1", "EXPLANATION", 4, 4, "解释\n2024.10.01", 6, False),
+)
+_ARTICLE = ("article_number", "region", "page_start", "page_end", "content", "sequence", "ambiguous")
+
+
+@query(f"""select *, 'article_' || sha256('["sum' || doc || '","' || article_number || '","' || region || '","' || replace(content, chr(10), '\\n') || '"]') as article_id from ({_listed(STANDARD, _ARTICLE, ARTICLES)})""")
+def standard_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the pages of standards to articles with identities."""
+    pages = _documents(spark, sf_dir, STANDARD).select("doc", "at", F.col("line").alias("text"))
+    return ST.parse(pages, "doc", "at", F.concat(F.lit("sum"), F.col("doc").cast("string"))).select("doc", *_ARTICLE, "article_id")
+
+
+#: Pages of a plan with a contents list, and its chapters: title, level, first and last page.
+PLAN_PAGES = ("封面", "目录\n第一章 工程概况......3\n第二章 施工方法......4", "第一章 工程概况\n正文", "第二章 施工方法\n（一）土方开挖\n正文", "（二）脚手架搭设\n第三章 应急预案")
+CHAPTERS = (("工程概况", 1, 2, 3), ("施工方法", 1, 3, 4), ("应急预案", 1, 4, 4))
+
+
+@query(_listed(PLAN_PAGES, ("title", "level", "start_page", "end_page"), CHAPTERS))
+def plan_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of plans by their contents lists, with the pages they take."""
+    pages = _documents(spark, sf_dir, PLAN_PAGES).select("doc", F.col("at").alias("page"), F.col("line").alias("text"))
+    return ST.chapters(pages, "doc", "page").select("doc", "title", "level", "start_page", "end_page")
+
+
+#: Lines of a plan, and the text under each heading with whether its chapter holds methods.
+BODY_LINES = ("一、施工方法", "引言", "（一）土方开挖", "分层开挖", "修整边坡", "二、计算书", "（一）立杆验算", "公式", "三、应急预案", "电话")
+BODIES = (("施工方法", 1, "引言\n分层开挖\n修整边坡", True), ("土方开挖", 2, "分层开挖\n修整边坡", True), ("计算书", 1, "公式", False), ("立杆验算", 2, "公式", False), ("应急预案", 1, "电话", False))
+
+
+@query(_listed(BODY_LINES, ("title", "level", "body", "allowed"), BODIES))
+def work_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies under headings, and which headings stand among methods."""
+    lines = _documents(spark, sf_dir, BODY_LINES).withColumn("h", T.heading(F.col("line")))
+    texts = W.bodies(lines, "doc", "at", F.col("h.title"), F.col("h.level"))
+    heads = lines.where("h is not null").select("doc", F.col("at").alias("seq"), "h.title", "h.level").withColumn("parent", S.parent_position("doc", "seq", "level"))
+    allowed = W.method_context(heads, "doc").select("doc", F.col("seq").alias("first"), "allowed")
+    return texts.join(allowed, ["doc", "first"]).select("doc", "title", "level", "body", "allowed")
+
+
+_FLAG = lambda name: (lambda t: F.contains(t, F.lit(f"#{name}")))
+scripted(
+    "work_item_filter", ("kept",), (
+        ("脚手架搭设", True), ("记录表", False), ("某公司", False), ("30 mm", False), ("土方", True), ("土方 #related", True), ("钢管 #is_material", False), ("应急预案 #is_chapter", True), ("脚手架搭设 #in_calculation", False), ("钢管 #is_material #numbered", True),
+    ),
+    "P18, P19: which work items stay, rule by rule.", lambda t: (W.keep_work_item(F.trim(F.regexp_replace(t, " #.*", "")), {k: _FLAG(k)(t) for k in ("in_calculation", "is_chapter", "numbered", "related", "is_material")}),),
+)
