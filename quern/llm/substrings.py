@@ -180,14 +180,18 @@ class Automaton:
         for i in range(len(line) - self.size + 1):
             self.trie.add_word(line[i : i + self.size], doc_id)
 
-    def locate(self, text: bytes, doc_id: int) -> list[list[int]]:
-        """Merged word ranges covered by windows that start in an earlier document."""
+    def hits(self, text: bytes) -> list[tuple[int, int]]:
+        """(last word, first document) of every window that the text shares."""
         if not self.ready:
             self.trie.make_automaton()
             self.ready = True
-        out: list[list[int]] = []
         get = self.numbers.get
-        for end, first in self.trie.iter(tuple([get(w, 0) for w in text.split()])):
+        return list(self.trie.iter(tuple([get(w, 0) for w in text.split()])))
+
+    def covered(self, hits: list[tuple[int, int]], doc_id: int) -> list[list[int]]:
+        """Merged word ranges covered by windows that start in an earlier document."""
+        out: list[list[int]] = []
+        for end, first in hits:
             if first < doc_id:
                 if out and end - self.size + 1 <= out[-1][1]:
                     out[-1][1] = end + 1
@@ -210,21 +214,25 @@ def occurrences(parts: DataFrame, found: DataFrame, size: int) -> DataFrame:
     sent = dealt(parts).select(shard, of("salts", "doc_id").alias("salt"), each("slices").alias("slice"), F.lit(1).alias("kind"), "doc_id", "start", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton = None, None
+        now, automaton, before, hits = None, None, None, []
         for batch in batches:
             ids, ranges = [], []
             for s, salt, piece, kind, doc_id, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (s, salt, piece) != now:
-                    now, automaton = (s, salt, piece), Automaton(size)
+                    now, automaton, before = (s, salt, piece), Automaton(size), None
                 if kind == 0:
                     automaton.add(text.encode(), doc_id)
-                elif automaton.numbers and (hits := automaton.locate(text.encode(), doc_id)):
-                    ids.append(doc_id)
-                    ranges.append([start + x for r in hits for x in r])
+                elif automaton.numbers:
+                    # Equal texts follow each other: copies are streamed, and looked up once.
+                    if text != before:
+                        before, hits = text, automaton.hits(text.encode())
+                    if found := automaton.covered(hits, doc_id):
+                        ids.append(doc_id)
+                        ranges.append([start + x for r in found for x in r])
             if ids:
                 yield _batch(doc_id=pa.array(ids, pa.int64()), ranges=pa.array(ranges, pa.list_(pa.int64())))
 
-    streams = laid.union(sent).repartition("shard", "salt", "slice").sortWithinPartitions("shard", "salt", "slice", "kind", "doc_id")
+    streams = laid.union(sent).repartition("shard", "salt", "slice").sortWithinPartitions("shard", "salt", "slice", "kind", "text")
     rows = streams.mapInArrow(run, "doc_id long, ranges array<long>")
     return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
