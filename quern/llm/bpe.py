@@ -22,9 +22,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .held import only
+from .storage import small_batches
+
 #: Fixed value: the pattern that byte-level pre-tokenizers split by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct pieces that are remembered between batches.
+#: Distinct pieces that are remembered between batches, and borders of tokens.
 REMEMBERED = 400_000
 
 
@@ -85,7 +88,7 @@ class Codec:
         known = self._fits.get(first << 32 | second)
         if known is not None:
             return known
-        if len(self._fits) > 400_000:
+        if len(self._fits) > REMEMBERED:
             self._fits.clear()
         key, limit, answer = first << 32 | second, 1 << 40, None
         while answer is None:
@@ -165,19 +168,12 @@ class Codec:
         return b"".join([words[i] for i in ids]).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(spec: str) -> Codec:
     """The codec of a vocabulary, made once in each Python worker."""
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    return only(("bpe", hash(spec)), lambda: Codec(spec))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices whose last column has at most ``most`` bytes or ids, one row at least, with that column's values."""
     for batch in batches:
         last = batch.column(batch.num_columns - 1)
@@ -194,7 +190,7 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tu
 def _spec(docs: DataFrame, path: str):
     """The vocabulary as a broadcast variable; read where the driver runs."""
     with open(path, encoding="utf-8") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())
+        return small_batches(docs).sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -32,7 +32,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .held import nothing, only
+from .storage import discard, materialize, small_batches
 from .wordhash import mix
 
 ORDER = 5
@@ -122,9 +123,6 @@ class Hashed:
         return at
 
 
-_arrays: dict[str, tuple[list[Hashed], list[Hashed]]] = {}
-
-
 @dataclass
 class Model:
     """languages; per order the log probabilities of n-grams and log back-off weights of contexts, or the tables that hold them; limits and scores when calibrated."""
@@ -140,14 +138,13 @@ class Model:
     def loaded(self) -> Model:
         """The model with its arrays; a process keeps those of one model."""
         if self.tables:
-            key = self.tables[0][0]
-            if key not in _arrays:
-                _arrays.clear()
-                none = self._read("")
-                _arrays[key] = [none, *(self._read(g) for g, _ in self.tables)], [none, *(self._read(c) for _, c in self.tables)]
-            self.grams, self.contexts = _arrays[key]
+            self.grams, self.contexts = only(("language", self.tables[0][0]), self._all)
         return self
 
+    def _all(self) -> tuple[list[Hashed], list[Hashed]]:
+        none = self._read("")
+        return [none, *(self._read(g) for g, _ in self.tables)], [none, *(self._read(c) for _, c in self.tables)]
+
     def _read(self, uri: str) -> Hashed:
         if not uri:
             return Hashed.of(np.zeros(0, np.uint64), np.zeros((0, len(self.languages)), np.float32))
@@ -270,6 +267,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """lang, gram and n over all rows with lang and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing()
         for part in _rows(batches):
             langs = np.array(part.column(0).to_pylist(), object)
             texts = part.column(1).to_pylist()
@@ -278,7 +276,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 grams, n = distinct_grams(chars, np.flatnonzero(_places(begin)))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams, pa.string()), pa.array(n)], ["lang", "gram", "n"])
 
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
+    rows = small_batches(labelled).where("lang is not null and text is not null").select("lang", "text")
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

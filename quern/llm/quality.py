@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, materialize, small_batches
 from .wordhash import Words, byte_chunks, span_hashes
 
 #: What the base rules and the features count.
@@ -91,7 +91,7 @@ def quality_counts(docs: DataFrame) -> DataFrame:
                 counts = count_chunk(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], ["doc_id", *COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 #: Rule features in parts per 1000 of the text, larger is worse.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import materialize, small_batches
 
 BITS = 64
 #: Variants that are held in memory at once.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks(bits: int, flips: int, shift: int) -> list[tuple[int, int]]:

@@ -15,8 +15,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written: its shuffle files go as soon as it is there; joins may hash a side that the run itself has measured to be small in every partition; Python gets whole texts in small batches.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
+#: While a table is written: its shuffle files go as soon as it is there; joins may hash a side that the run itself has measured to be small in every partition.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
+#: Rows of whole texts that Python gets at once.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on gives Python at most BATCH_ROWS rows at once: results that are handed back run when their reader wants, under the session's setting then."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     """One input table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

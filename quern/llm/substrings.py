@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, materialize, small_batches
 from .wordhash import Words, byte_chunks, span_hashes
 
 PHRASE = 6
@@ -241,7 +241,7 @@ def repeated_ranges(docs: DataFrame, size: int = 13) -> DataFrame:
     """doc_id and ranges (array of begin and end words) of the documents that lose words."""
     if size <= PHRASE:
         raise ValueError(f"windows have more than {PHRASE} words")
-    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    known = small_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     rows = materialize(phrase_rows(known, size), "phrases")
     owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
     owners = materialize(owners, "owners")
