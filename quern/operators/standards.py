@@ -36,8 +36,8 @@ def chapters(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """
     marked = contents_pages(pages, doc, page)
     lines = S.explode_lines(marked, [doc, page, "in_contents"])
-    body = lines.where(~F.col("in_contents")).withColumn("h", T.heading(F.col("line"))).where("h is not null").select(doc, page, "line_index", "h.title", "h.level")
-    entries = lines.where("in_contents").withColumn("h", T.heading(F.regexp_replace("line", CONTENTS_SUFFIX, ""))).where("h is not null").select(doc, F.col("h.title").alias("title")).distinct()
+    body = S.once(lines.where(~F.col("in_contents")), h=T.heading(F.col("line"))).where("h is not null").select(doc, page, "line_index", "h.title", "h.level")
+    entries = S.once(lines.where("in_contents"), h=T.heading(F.regexp_replace("line", CONTENTS_SUFFIX, ""))).where("h is not null").select(doc, F.col("h.title").alias("title")).distinct()
     place = F.struct(page, "line_index")
     first = body.groupBy(doc, "title").agg(F.min_by(F.struct(page, "line_index", "level"), place).alias("f")).select(doc, "title", f"f.{page}", "f.line_index", "f.level")
     listed = first.join(entries.withColumn("listed", F.lit(True)), [doc, "title"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
@@ -58,7 +58,7 @@ def articles(lines: DataFrame, doc: str, order: Sequence[str]) -> DataFrame:
     heading or a change of region.
     """
     w = Window.partitionBy(doc).orderBy(*order)
-    rows = lines.withColumn("a", T.article_start(F.col("line"))).withColumn("h", T.standard_heading(F.col("line")))
+    rows = S.once(lines, a=T.article_start(F.col("line")), h=T.standard_heading(F.col("line")))
     moved = ~F.col("region").eqNullSafe(F.lag("region").over(w))
     rows = S.sessions(rows.withColumn("moved", moved), doc, order, F.col("a").isNotNull() & (F.col("region") != "FRONT_MATTER"), F.col("h").isNotNull() | F.col("moved"))
     place = F.struct(*order)
@@ -113,7 +113,7 @@ def reading_order(lines: DataFrame, page: str) -> DataFrame:
 def article_intervals(lines: DataFrame, doc: str, order: str) -> DataFrame:
     """doc, article_number, first, until (start of the next article, null at the end) and cut (first structural heading in between, which ends the article)."""
     ahead = rows_after(doc, [order])
-    rows = lines.withColumn("number", T.article_start(F.col("line"))["number"]).withColumn("__h", T.standard_heading(F.col("line")).isNotNull() & F.col("number").isNull())
+    rows = S.once(lines, number=T.article_start(F.col("line"))["number"], __s=T.standard_heading(F.col("line"))).withColumn("__h", F.col("__s").isNotNull() & F.col("number").isNull()).drop("__s")
     rows = rows.withColumn("until", F.min(F.when(F.col("number").isNotNull(), F.col(order))).over(ahead)).withColumn("__c", F.min(F.when(F.col("__h"), F.col(order))).over(ahead))
     cut = F.when(F.col("until").isNull() | (F.col("__c") < F.col("until")), F.col("__c"))
     return rows.where("number is not null").select(doc, F.col("number").alias("article_number"), F.col(order).alias("first"), "until", cut.alias("cut"))

@@ -266,7 +266,7 @@ BODIES = (("施工方法", 1, "引言\n分层开挖\n修整边坡", True), ("土
 @query(_listed(BODY_LINES, ("title", "level", "body", "allowed"), BODIES))
 def work_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies under headings, and which headings stand among methods."""
-    lines = _documents(spark, sf_dir, BODY_LINES).withColumn("h", T.heading(F.col("line")))
+    lines = S.once(_documents(spark, sf_dir, BODY_LINES), h=T.heading(F.col("line")))
     texts = W.bodies(lines, "doc", "at", F.col("h.title"), F.col("h.level"))
     heads = lines.where("h is not null").select("doc", F.col("at").alias("seq"), "h.title", "h.level").withColumn("parent", S.parent_position("doc", "seq", "level"))
     allowed = W.method_context(heads, "doc").select("doc", F.col("seq").alias("first"), "allowed")
