@@ -173,7 +173,7 @@ def _codec(spec: str) -> Codec:
     return only(("bpe", hash(spec)), lambda: Codec(spec))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices whose last column has at most ``most`` bytes or ids, one row at least, with that column's values."""
     for batch in batches:
         last = batch.column(batch.num_columns - 1)
