@@ -17,6 +17,7 @@ from quern.functions import spans as SP
 from quern.functions import text as T
 from quern.operators import completeness as CP
 from quern.operators import consistency as CO
+from quern.operators import quality as QU
 from quern.operators import review as V
 from quern.operators import standards as ST
 from quern.operators import structure as S
@@ -280,3 +281,47 @@ scripted(
     ),
     "P18, P19: which work items stay, rule by rule.", lambda t: (W.keep_work_item(F.trim(F.regexp_replace(t, " #.*", "")), {k: _FLAG(k)(t) for k in ("in_calculation", "is_chapter", "numbered", "related", "is_material")}),),
 )
+
+
+#: Pages of a plan with a header, a footer and page numbers, and the edges that repeat: by first and last line, by the outer two lines, and by slot.
+EDGED = ("某工程方案\n编制单位\n正文甲乙\n内部资料\n第1页共5页", "某工程方案\n编制单位\n正文丙丁\n内部资料\n第2页共5页", "某工程方案\n其他\n正文戊己\n内部资料\n第3页共5页", "某工程方案\n编制单位\n庚辛\n内部资料\n第4页共5页", "封底")
+EDGES = (
+    ("occurrence", "", "某工程方案", 4), ("occurrence", "", "第#页共#页", 4), ("distinct", "", "某工程方案", 4), ("distinct", "", "编制单位", 3), ("distinct", "", "内部资料", 4),
+    ("slot", "top-0", "某工程方案", 4), ("slot", "top-1", "编制单位", 3), ("slot", "bottom-1", "内部资料", 4),
+)
+
+
+@query(_listed(EDGED, ("mode", "slot", "edge", "pages"), EDGES))
+def repeated_edges_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and footers of plans in all three ways."""
+    pages = _documents(spark, sf_dir, EDGED).select("doc", "at", F.col("line").alias("text"))
+    every = [S.repeated_edges(pages, "doc", mode).select("doc", F.lit(mode).alias("mode"), F.coalesce("slot", F.lit("")).alias("slot"), "edge", "pages") for mode in ("occurrence", "distinct", "slot")]
+    return every[0].union(every[1]).union(every[2])
+
+
+@query(_listed(EDGED, ("page_count", "effective", "meaningful", "repeated_ratio", "has_structure", "status"), ((5, 12, 0, 0.533333, False, "TEXT_READY"),)))
+def plan_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages of plans hold besides repeated edges."""
+    pages = _documents(spark, sf_dir, EDGED).select("doc", F.col("line").alias("text"), F.lit(0).alias("image_count"), F.lit(0.0).alias("image_coverage"))
+    out = S.inspect_documents(pages, "doc", "第一章")
+    columns = ("page_count", "raw_count", "effective", "meaningful", "image_pages", "heavy_pages", "repeated_ratio", "has_structure")
+    return out.select("doc", "page_count", "effective", "meaningful", "repeated_ratio", "has_structure", S.inspection_status({c: F.col(c) for c in columns}).alias("status"))
+
+
+#: Recognised lines: text, raster support, height ratio and aspect ratio, and the issues that they have.
+RECOGNISED = (
+    ("6.1.2 立杆", 0.9, 1.0, 9.0, ""), ("6,1,2 立杆", 0.9, 1.0, 9.0, "ARTICLE_NUMBER_AMBIGUITY"), ("6.12 水平杆", 0.9, 1.0, 9.0, "ARTICLE_NUMBER_AMBIGUITY"), ("印章", 0.2, 1.4, 2.0, "INSUFFICIENT_RASTER_TEXT_SUPPORT"), ("印章", 0.3, 1.4, 2.0, ""),
+    ("印章", 0.2, 1.3, 2.0, ""), ("印章", 0.2, 1.4, 3.5, ""), ("6,1 印", 0.1, 1.5, 1.0, "ARTICLE_NUMBER_AMBIGUITY|INSUFFICIENT_RASTER_TEXT_SUPPORT"), ("正文", 0.9, 1.0, 9.0, ""), ("7.1 标题", 0.9, 1.0, 9.0, "ARTICLE_NUMBER_AMBIGUITY"),
+)
+
+
+@query(f"select p_partkey, issue from part join (values {', '.join(f'({i}, {_literal(x)})' for i, c in enumerate(RECOGNISED) for x in c[4].split('|') if x)}) v(i, issue) on p_partkey % {len(RECOGNISED)} = i")
+def recognition_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose pixels do not support their text, and numbers that may be articles."""
+    at = (F.col("p_partkey") % len(RECOGNISED) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(row[i]) for row in RECOGNISED)), at)
+    lines = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / len(RECOGNISED)).alias("page"), F.col("p_partkey").alias("line_id"), pick(0).alias("text"), F.lit(0.95).alias("confidence"), F.lit(10.0).alias("height"), F.lit(90.0).alias("width"), F.lit(0.0).alias("angle"),
+        pick(1).alias("relative_support"), pick(2).alias("height_ratio"), pick(3).alias("aspect_ratio"),
+    )
+    return QU.line_issues(lines, "page").select(F.col("line_id").alias("p_partkey"), "issue")
