@@ -283,9 +283,11 @@ def standard_region_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.standard_regions(lines, "doc", ["pos"]).select("doc", "pos", "region")
 
 
-@query()
+@query("""
+select doc_id, chunk, case when chunk = 0 then '[page 1]' || chr(10) || substr(text, 1, 3990) else '[page 1 continued]' || chr(10) || substr(text, 3991 + (chunk - 1) * 3980, 3980) end || chr(10) as content
+from (select doc_id, coalesce(text, '') as text, unnest(range(0, 1 + cast(ceil(greatest(0, length(coalesce(text, '')) - 3990) / 3980.0) as bigint))) as chunk from documents)""")
 def chunked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut into chunks of at most 4,000 characters with page marks (sequential, beyond SQL)."""
+    """Documents, each one page, cut into chunks of at most 4,000 characters with page marks."""
     pages = table(spark, sf_dir, "documents").withColumn("page", F.lit(1))
     return S.chunk_pages(pages, "doc_id", "page", 4000)
 
