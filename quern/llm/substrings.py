@@ -34,7 +34,7 @@ from .wordhash import Words, byte_chunks, span_hashes
 
 PHRASE = 6
 #: Words of passages in a shard's automaton, about (an owner with more is sliced); segments of an owner in a salt, about.
-SHARD_WORDS, SALT_ROWS = 50_000, 50_000
+SHARD_WORDS, SALT_ROWS = 25_000, 50_000
 _PHRASE_K = 0xD6E8FEB86659FD93
 
 
