@@ -223,10 +223,11 @@ def _documents(spark: SparkSession, sf_dir: str, rows: Sequence[object]) -> Data
     return table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / len(rows)).alias("doc"), (F.col("p_partkey") % len(rows)).alias("at"), line.alias("line"))
 
 
-def _listed(rows: Sequence[object], columns: Sequence[str], expected: Sequence[tuple]) -> str:
-    """SQL of the ``expected`` rows, once for each document of :func:`_documents`."""
+def _listed(rows: Sequence[object], columns: Sequence[str], expected: Sequence[tuple], **kinds: str) -> str:
+    """SQL of the ``expected`` rows, once for each document of :func:`_documents`; ``kinds`` has the types of columns that literals do not tell."""
     values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in expected)
-    return f"select doc, {', '.join(columns)} from (select distinct p_partkey // {len(rows)} as doc from part), (values {values}) v({', '.join(columns)})"
+    typed = ", ".join(f"cast({c} as {kinds[c]}) as {c}" if c in kinds else c for c in columns)
+    return f"select doc, {typed} from (select distinct p_partkey // {len(rows)} as doc from part), (values {values}) v({', '.join(columns)})"
 
 
 #: Pages of a standard, and its articles: number, region, pages, content, sequence, and whether the number came before.
@@ -240,7 +241,7 @@ ARTICLES = (
 _ARTICLE = ("article_number", "region", "page_start", "page_end", "content", "sequence", "ambiguous")
 
 
-@query(f"""select *, 'article_' || sha256('["sum' || doc || '","' || article_number || '","' || region || '","' || replace(content, chr(10), '\\n') || '"]') as article_id from ({_listed(STANDARD, _ARTICLE, ARTICLES)})""")
+@query(f"""select *, 'article_' || sha256('["sum' || doc || '","' || article_number || '","' || region || '","' || replace(content, chr(10), '\\n') || '"]') as article_id from ({_listed(STANDARD, _ARTICLE, ARTICLES, page_start='bigint', page_end='bigint', sequence='bigint')})""")
 def standard_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the pages of standards to articles with identities."""
     pages = _documents(spark, sf_dir, STANDARD).select("doc", "at", F.col("line").alias("text"))
@@ -252,7 +253,7 @@ PLAN_PAGES = ("封面", "目录\n第一章 工程概况......3\n第二章 施工
 CHAPTERS = (("工程概况", 1, 2, 3), ("施工方法", 1, 3, 4), ("应急预案", 1, 4, 4))
 
 
-@query(_listed(PLAN_PAGES, ("title", "level", "start_page", "end_page"), CHAPTERS))
+@query(_listed(PLAN_PAGES, ("title", "level", "start_page", "end_page"), CHAPTERS, start_page="bigint", end_page="bigint"))
 def plan_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of plans by their contents lists, with the pages they take."""
     pages = _documents(spark, sf_dir, PLAN_PAGES).select("doc", F.col("at").alias("page"), F.col("line").alias("text"))
@@ -291,7 +292,7 @@ EDGES = (
 )
 
 
-@query(_listed(EDGED, ("mode", "slot", "edge", "pages"), EDGES))
+@query(_listed(EDGED, ("mode", "slot", "edge", "pages"), EDGES, pages="bigint"))
 def repeated_edges_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers and footers of plans in all three ways."""
     pages = _documents(spark, sf_dir, EDGED).select("doc", "at", F.col("line").alias("text"))
@@ -299,7 +300,7 @@ def repeated_edges_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every[0].union(every[1]).union(every[2])
 
 
-@query(_listed(EDGED, ("page_count", "effective", "meaningful", "repeated_ratio", "has_structure", "status"), ((5, 12, 0, 0.533333, False, "TEXT_READY"),)))
+@query(_listed(EDGED, ("page_count", "effective", "meaningful", "repeated_ratio", "has_structure", "status"), ((5, 12, 0, 0.533333, False, "TEXT_READY"),), page_count="bigint", effective="bigint", meaningful="bigint", repeated_ratio="double"))
 def plan_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pages of plans hold besides repeated edges."""
     pages = _documents(spark, sf_dir, EDGED).select("doc", F.col("line").alias("text"), F.lit(0).alias("image_count"), F.lit(0.0).alias("image_coverage"))
