@@ -9,12 +9,14 @@ shuffle).
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.joins import against
-
 #: BM25, fusion, boosts (before the division by 100 in reranking) and acceptance levels.
 K1, B = 1.5, 0.75
 FIELD_WEIGHTS = {"content": 3, "number": 5, "chapter": 2, "name": 1}
@@ -22,6 +24,8 @@ RRF_K, POOL_FACTOR, POOL_LEAST = 60, 4, 20
 PHRASE_BOOST, NUMBER_BOOST, CODE_BOOST = 4.0, 10.0, 5.0
 RERANK = {"phrase": 4.0, "number": 10.0, "overlap": 3.0, "code": 5.0}
 ACCEPT_STRONG, ACCEPT_PLAIN, ACCEPT_PHRASE, LOW_CONFIDENCE = 0.25, 0.60, 0.45, 0.30
+#: Cosine search: about so many queries meet so many vectors in one call, of which a matrix product takes so many at once.
+QUERY_BLOCK, VECTOR_BLOCK, SLICE = 1024, 8192, 2048
 
 
 def weighted_tokens(fields: Mapping[str, Column], weights: Mapping[str, int] = FIELD_WEIGHTS) -> Column:
@@ -82,22 +86,110 @@ def exact_boost(query: Mapping[str, Column], text: Column, text_tokens: Column,
     return phrases + exact + named + overlap
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; null if either has no length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
-
-
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score and rank of the k nearest by cosine > 0; ``queries``: a stated set with query_id and query.
 
-    Every vector meets every query of the stated set, in blocks, so the set is what
-    grows the work, not the square of the table. Ties go by vec_id.
+    Every vector meets every query of the stated set, in blocks of both, so the set
+    is what grows the work, not the square of the table. Each pair of blocks hands
+    on its k best a query. Ties go by vec_id. Vectors that are null or hold a null,
+    and pairs of different lengths, have no cosine.
     """
-    pairs = against(vectors, "vec_id", queries).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score")).where("score > 0")
-    return top_ranks(scored, [F.desc("score"), F.asc("vec_id")], k)
+    blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    known = lambda key, v: F.col(key).isNotNull() & F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.where(known("vec_id", "embedding")).select("vec_id", "embedding", every(blocks).alias("__block"), dealt(parts, "vec_id", "embedding").alias("__part"))
+    asked = queries.where(known("query_id", "query")).select("query_id", "query", dealt(blocks, "query_id", "query").alias("__block"), every(parts).alias("__part"))
+
+    def best(v: pa.Table, q: pa.Table) -> pa.Table:
+        return _nearest(v, q, k, digits)
+
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
+    found = rows.groupBy("__block", "__part").cogroup(asked.groupBy("__block", "__part")).applyInArrow(best, schema)
+    return top_ranks(found, [F.desc("score"), F.asc("vec_id")], k)
+
+
+def _nearest(vectors: pa.Table, queries: pa.Table, k: int, digits: int) -> pa.Table:
+    """query_id, vec_id and score of the k best vectors of each query within two blocks."""
+    ids, asked = (t.column(c).combine_chunks() for t, c in ((vectors, "vec_id"), (queries, "query_id")))
+    code = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (ids, asked)]), return_inverse=True)[1]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for (v_at, v), (q_at, q) in _by_length(vectors.column("embedding"), queries.column("query")):
+        q_in, v_in, score = _best_pairs(v, q, code[: len(ids)][v_at], code[len(ids) :][q_at], k, digits)
+        found.append((q_at[q_in], v_at[v_in], score))
+    q_all, v_all, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"query_id": asked.take(pa.array(q_all)), "vec_id": ids.take(pa.array(v_all)), "score": score})
+
+
+def _by_length(*columns: pa.ChunkedArray):
+    """For each length that vectors of all the columns have: their places in each column and their matrix in double precision."""
+    lists = [c.combine_chunks() for c in columns]
+    lengths = [pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in lists]
+    for n in sorted(set.intersection(*(set(x.tolist()) for x in lengths)) - {0}):
+        at = [np.flatnonzero(x == n) for x in lengths]
+        yield [(i, c.take(pa.array(i)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)) for i, c in zip(at, lists, strict=True)]
+
+
+def _best_pairs(v: np.ndarray, q: np.ndarray, v_code: np.ndarray, q_code: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q`` and of ``v`` with a different code, and their score: the k best of each query, ties by code.
+
+    A matrix product only tells which pairs may be among the k best; their cosine
+    is then summed up component by component, so that no score depends on blocks.
+    Numbers beyond its reach are always computed so. NaN counts as the highest.
+    """
+    with np.errstate(all="ignore"):
+        unit = 10.0**-digits
+        v_norm, q_norm = _norms(v), _norms(q)
+        v_unit, q_unit = _units(v, v_norm), _units(q, q_norm)
+        v_cols, q_cols = np.ascontiguousarray(v.T), np.ascontiguousarray(q.T)
+        kth = np.full(len(q), -np.inf)
+        q_in, v_in, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for lo in range(0, len(v), SLICE):
+            about = q_unit @ v_unit[lo : lo + SLICE].T
+            about[q_code[:, None] == v_code[None, lo : lo + SLICE]] = -np.inf
+            if lo == 0 and about.shape[1] > k:
+                least = -np.partition(-about, k - 1, axis=1)[:, k - 1]
+                kth = np.where(np.isnan(least), -np.inf, least)
+            qs, vs = np.nonzero(~(about < np.maximum(kth - unit, unit / 4)[:, None]))
+            vs = vs + lo
+            dot = np.zeros(len(qs))
+            for a, b in zip(v_cols, q_cols, strict=True):
+                dot += a[vs] * b[qs]
+            size = v_norm[vs] * q_norm[qs]
+            said = _half_up(dot / size, digits)
+            good = (size != 0) & ~(said <= 0)
+            q_in, v_in, score = (np.concatenate((x, y[good])) for x, y in ((q_in, qs), (v_in, vs), (score, said)))
+            high = np.where(np.isnan(score), np.inf, score)
+            order = np.lexsort((v_code[v_in], -high, q_in))
+            q_in, v_in, score, high = q_in[order], v_in[order], score[order], high[order]
+            turn = np.arange(len(q_in)) - np.searchsorted(q_in, q_in)
+            kth[q_in[turn == k - 1]] = high[turn == k - 1]
+            q_in, v_in, score = (x[turn < k] for x in (q_in, v_in, score))
+        return q_in, v_in, score
+
+
+def _norms(m: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(m))
+    for x in m.T:
+        total += x * x
+    return np.sqrt(total)
+
+
+def _units(m: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Rows of length one; NaN where squares leave the range of doubles; zero for those that have no cosine."""
+    out = m / norm[:, None]
+    out[~((norm > 1e-140) & (norm < 1e140))] = np.nan
+    out[norm == 0] = 0
+    return out
+
+
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as Spark's round does: the shortest decimal form, halves away from zero; positive numbers."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
 
 
 def fuse(*routes: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -151,6 +243,27 @@ def ranking_metrics(ranks: DataFrame, relevant: DataFrame, cuts: tuple[int, ...]
     return every.agg(*(F.round(F.avg(f"recall_{c}"), 6).alias(f"recall_{c}") for c in cuts), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
+def label_metrics(ranks: DataFrame, labels: DataFrame, asked: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """As ranking_metrics where the relevant items of a query are all others of its label: these are counted by label, never listed.
+
+    ``ranks``: query_id, item, rank; ``labels``: item, label; ``asked``: query_id, label.
+    """
+    labels = labels.where("item is not null")
+    of_label = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    itself = labels.groupBy(F.col("item").alias("query_id"), "label").agg(F.count(F.lit(1)).alias("own"))
+    counted = asked.join(of_label, "label").join(itself, ["query_id", "label"], "left")
+    totals = counted.groupBy("query_id").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    # Items listed more than once count as often as their pairs would.
+    hits = [F.count_if(F.col("rank") <= c).alias(f"hits_{c}") for c in cuts]
+    seen = ranks.groupBy("query_id", "item").agg(*hits, F.min("rank").alias("first"), F.count(F.lit(1)).alias("times"))
+    met = seen.join(labels, "item").join(asked, ["query_id", "label"]).groupBy("query_id")
+    met = met.agg(*(F.sum(f"hits_{c}").alias(f"hits_{c}") for c in cuts), F.min("first").alias("first"), F.sum(F.col("times") - 1).alias("again"))
+    one = totals.join(met, "query_id", "left")
+    one = one.select("query_id", *((F.col(f"hits_{c}") / (F.col("n") + F.col("again"))).alias(f"recall_{c}") for c in cuts), (1 / F.col("first")).alias("rr"))
+    every = ranks.select("query_id").union(totals.select("query_id")).distinct().join(one, "query_id", "left").na.fill(0.0)
+    return every.agg(*(F.round(F.avg(f"recall_{c}"), 6).alias(f"recall_{c}") for c in cuts), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
 def prefer_flagged(hits: DataFrame) -> DataFrame:
     """Reorder hits so that, where a number occurs both plain and flagged, the first flagged one comes at the number's first place.
 

@@ -184,8 +184,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     ranks = R.vector_top(vectors, _vector_queries(spark, sf_dir), 10).withColumnRenamed("vec_id", "item")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = vectors.join(asked, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"))
-    return R.ranking_metrics(ranks, relevant)
+    return R.label_metrics(ranks, vectors.select(F.col("vec_id").alias("item"), "label"), asked)
 
 
 @query("""

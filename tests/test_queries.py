@@ -38,3 +38,53 @@ def test_result_does_not_depend_on_partitions(spark, sf_dir, name):
         assert rows(catalog.QUERIES[name](spark, sf_dir).toPandas()) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_cosine_search_in_blocks(spark, monkeypatch):
+    """Blocks, ties, repeated ids, nulls, NaN, zeros and other lengths against all pairs in Spark's own arithmetic."""
+    import random
+
+    from quern.operators import retrieval as R
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 60)
+    rng, nan = random.Random(5), float("nan")
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)], i % 4) for i in range(300)]
+    rows += [(7, [1.0, 2.0, 0.0], 1), (300, None, 1), (310, [1.0, None, 2.0], 2), (320, [0.0, 0.0, 0.0], 2), (330, [nan, 1.0, 1.0], None), (340, [1e38, 1.0, 1.0], 3), (350, [1.0, 2.0], 0), (351, [1.0, 2.1], 0), (352, [], 0), (None, [1.0, 1.0, 1.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    queries = vectors.where("vec_id % 10 = 0 or vec_id = 7").selectExpr("vec_id as query_id", "embedding as query")
+    double = "cast({} as array<double>)"
+    a, b = double.format("embedding"), double.format("query")
+    total = lambda x: f"aggregate({x}, 0d, (s, x) -> s + x)"
+    norm = lambda x: f"sqrt({total(f'transform({x}, x -> x * x)')})"
+    score = f"round({total(f'zip_with({a}, {b}, (x, y) -> x * y)')} / nullif({norm(a)} * {norm(b)}, 0d), 6) as score"
+    pairs = vectors.crossJoin(queries).where("vec_id <> query_id").selectExpr("query_id", "vec_id", score).where("score > 0")
+    pairs.createOrReplaceTempView("pairs_of_vectors")
+    ranked = spark.sql("select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs_of_vectors").where("rank <= 5")
+    # 7 is there twice: its equal rows are alike but for the order of their scores.
+    key = lambda df: sorted((str(r["query_id"]), r["rank"], r["vec_id"], str(r["score"])) for r in df.collect())
+    got = R.vector_top(vectors, queries, 5)
+    assert key(got) == key(ranked)
+
+    ranks = got.withColumnRenamed("vec_id", "item")
+    asked = vectors.where("vec_id % 10 = 0 or vec_id = 7").selectExpr("vec_id as query_id", "label")
+    relevant = vectors.join(asked, "label").where("vec_id <> query_id").selectExpr("query_id", "vec_id as item")
+    by_label = R.label_metrics(ranks, vectors.selectExpr("vec_id as item", "label"), asked)
+    assert by_label.collect() == R.ranking_metrics(ranks, relevant).collect()
+
+
+def test_search_and_metrics_list_no_pairs(spark, sf_dir):
+    """Neither pairs of vector and query nor pairs of equal label are rows of the plan."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["retrieval_metrics"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "__queries" not in plan and "NOT (vec_id" not in plan
+
+
+@pytest.mark.parametrize("x, digits, want", [(0.1234565, 6, 0.123457), (0.1234564999, 6, 0.123456), (0.5, 0, 1.0), (0.0000005, 6, 0.000001), (1.0000000000000002, 6, 1.0)])
+def test_rounded_as_spark_rounds(spark, x, digits, want):
+    import numpy as np
+
+    from quern.operators.retrieval import _half_up
+
+    assert _half_up(np.array([x]), digits)[0] == want == spark.range(1).selectExpr(f"round(cast('{x!r}' as double), {digits})").first()[0]
