@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: While a table is written: its shuffle files go as soon as it is there; joins may hash a side that the run itself has measured to be small in every partition.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
+#: Of a folder on a local path: no checksum files. For each file it makes, and so for each checksum file, Hadoop starts a process (chmod), which for a moment has all of the executor's memory as its own.
+UNCHECKED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Rows of whole texts that Python gets at once.
 BATCH_ROWS = 1024
 
@@ -54,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     try:
         for k, v in WRITING.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.options(**UNCHECKED).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

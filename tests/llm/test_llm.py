@@ -762,3 +762,17 @@ def test_pipeline_against_brute_force(spark, docs, local):
             library = Tokenizer.from_file(VOCAB)
             expected = Counter((r.doc_id, tuple(library.encode(r.text, add_special_tokens=False).ids)) for r in before.itertuples())
             assert Counter((r.doc_id, tuple(r.ids)) for r in after.itertuples()) == expected
+
+
+def test_tables_between_steps_have_no_checksum_files(spark):
+    """Hadoop starts a process for every file on a local path, checksum files included."""
+    from pathlib import Path
+
+    from quern.llm.storage import discard, materialize
+
+    rows = materialize(spark.range(0, 100, 1, 3), "unchecked")
+    folder = Path(rows.quern_path.removeprefix("file://"))
+    assert not list(folder.rglob("*.crc")) and len(list(folder.glob("part-*"))) == 3
+    assert sorted(r[0] for r in rows.collect()) == list(range(100))
+    discard(rows)
+    assert not folder.exists()
