@@ -24,8 +24,8 @@ RRF_K, POOL_FACTOR, POOL_LEAST = 60, 4, 20
 PHRASE_BOOST, NUMBER_BOOST, CODE_BOOST = 4.0, 10.0, 5.0
 RERANK = {"phrase": 4.0, "number": 10.0, "overlap": 3.0, "code": 5.0}
 ACCEPT_STRONG, ACCEPT_PLAIN, ACCEPT_PHRASE, LOW_CONFIDENCE = 0.25, 0.60, 0.45, 0.30
-#: Cosine search: about so many queries meet so many vectors in one call, of which a matrix product takes so many at once.
-QUERY_BLOCK, VECTOR_BLOCK, SLICE = 1024, 8192, 2048
+#: Cosine search: a call has QUERY_BLOCK queries at least, VECTOR_BLOCK queries and as many vectors at most; CALLS are enough. A matrix product takes a slice of both.
+QUERY_BLOCK, VECTOR_BLOCK, CALLS, QUERY_SLICE, SLICE = 1024, 16384, 32, 256, 2048
 
 
 def weighted_tokens(fields: Mapping[str, Column], weights: Mapping[str, int] = FIELD_WEIGHTS) -> Column:
@@ -87,14 +87,14 @@ def exact_boost(query: Mapping[str, Column], text: Column, text_tokens: Column,
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query_id, vec_id, score and rank of the k nearest by cosine > 0; ``queries``: a stated set with query_id and query.
+    """query_id, vec_id, score and rank of the k nearest by cosine > 0; ``queries``: query_id and query, a stated set or all vectors.
 
-    Every vector meets every query of the stated set, in blocks of both, so the set
-    is what grows the work, not the square of the table. Each pair of blocks hands
-    on its k best a query. Ties go by vec_id. Vectors that are null or hold a null,
-    and pairs of different lengths, have no cosine.
+    Every vector meets every query, in blocks of both: the work is their product,
+    so all vectors as queries cost the square of the table. Each pair of blocks
+    hands on its k best a query. Ties go by vec_id. Vectors that are null or hold a
+    null, and pairs of different lengths, have no cosine.
     """
-    blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    blocks, parts = _blocks(queries.count(), vectors.count())
     known = lambda key, v: F.col(key).isNotNull() & F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
     dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -105,8 +105,15 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6)
         return _nearest(v, q, k, digits)
 
     schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
-    found = rows.groupBy("__block", "__part").cogroup(asked.groupBy("__block", "__part")).applyInArrow(best, schema)
-    return top_ranks(found, [F.desc("score"), F.asc("vec_id")], k)
+    # A number of partitions that is stated is kept: blocks are small but work long, and would else be put into few tasks.
+    rows, asked = (x.repartition(2 * blocks * parts, "__block", "__part").groupBy("__block", "__part") for x in (rows, asked))
+    return top_ranks(rows.cogroup(asked).applyInArrow(best, schema), [F.desc("score"), F.asc("vec_id")], k)
+
+
+def _blocks(queries: int, vectors: int) -> tuple[int, int]:
+    """Number of blocks of queries and of vectors. A row is sent to all blocks of the other side, so they are few: long ones, but for calls enough to share the work."""
+    parts = max(1, -(-vectors // VECTOR_BLOCK))
+    return max(1, -(-queries // VECTOR_BLOCK), min(queries // QUERY_BLOCK, -(-CALLS // parts))), parts
 
 
 def _nearest(vectors: pa.Table, queries: pa.Table, k: int, digits: int) -> pa.Table:
@@ -138,34 +145,55 @@ def _best_pairs(v: np.ndarray, q: np.ndarray, v_code: np.ndarray, q_code: np.nda
     Numbers beyond its reach are always computed so. NaN counts as the highest.
     """
     with np.errstate(all="ignore"):
-        unit = 10.0**-digits
+        by_code = np.argsort(v_code, kind="stable")
+        v, v_code = v[by_code], v_code[by_code]
         v_norm, q_norm = _norms(v), _norms(q)
         v_unit, q_unit = _units(v, v_norm), _units(q, q_norm)
-        v_cols, q_cols = np.ascontiguousarray(v.T), np.ascontiguousarray(q.T)
-        kth = np.full(len(q), -np.inf)
-        q_in, v_in, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for lo in range(0, len(v), SLICE):
-            about = q_unit @ v_unit[lo : lo + SLICE].T
-            about[q_code[:, None] == v_code[None, lo : lo + SLICE]] = -np.inf
-            if lo == 0 and about.shape[1] > k:
-                least = -np.partition(-about, k - 1, axis=1)[:, k - 1]
-                kth = np.where(np.isnan(least), -np.inf, least)
-            qs, vs = np.nonzero(~(about < np.maximum(kth - unit, unit / 4)[:, None]))
-            vs = vs + lo
-            dot = np.zeros(len(qs))
-            for a, b in zip(v_cols, q_cols, strict=True):
-                dot += a[vs] * b[qs]
-            size = v_norm[vs] * q_norm[qs]
-            said = _half_up(dot / size, digits)
-            good = (size != 0) & ~(said <= 0)
-            q_in, v_in, score = (np.concatenate((x, y[good])) for x, y in ((q_in, qs), (v_in, vs), (score, said)))
-            high = np.where(np.isnan(score), np.inf, score)
-            order = np.lexsort((v_code[v_in], -high, q_in))
-            q_in, v_in, score, high = q_in[order], v_in[order], score[order], high[order]
-            turn = np.arange(len(q_in)) - np.searchsorted(q_in, q_in)
-            kth[q_in[turn == k - 1]] = high[turn == k - 1]
-            q_in, v_in, score = (x[turn < k] for x in (q_in, v_in, score))
-        return q_in, v_in, score
+        v_cols = np.ascontiguousarray(v.T)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for lo in range(0, len(q), QUERY_SLICE):
+            at = slice(lo, lo + QUERY_SLICE)
+            q_in, v_in, score = _best_of_slice(v_cols, v_unit, v_norm, v_code, q[at], q_unit[at], q_norm[at], q_code[at], k, digits)
+            found.append((q_in + lo, by_code[v_in], score))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _best_of_slice(v_cols, v_unit, v_norm, v_code, q, q_unit, q_norm, q_code, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _best_pairs; vectors come by code, so a later one must score higher than the k-th so far, not alike."""
+    unit = 10.0**-digits
+    products, marks = (np.empty(len(q) * min(SLICE, len(v_code)), kind) for kind in (np.float64, bool))
+    q_cols = np.ascontiguousarray(q.T)
+    q_in, v_in, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for lo in range(0, len(v_code), SLICE):
+        width = min(SLICE, len(v_code) - lo)
+        about = np.matmul(q_unit, v_unit[lo : lo + width].T, out=products[: len(q) * width].reshape(len(q), width))
+        own = np.flatnonzero(np.isin(v_code[lo : lo + width], q_code))
+        q_own, v_own = np.nonzero(q_code[:, None] == v_code[None, lo + own])
+        about[q_own, own[v_own]] = -np.inf
+        if lo == 0:
+            kth = np.full(len(q), -np.inf)
+            if width > k:
+                kth = -np.partition(-about, k - 1, axis=1)[:, k - 1]
+                kth[np.isnan(kth)] = -np.inf
+            least = np.maximum(kth - unit, unit / 4)
+        below = np.less(about, least[:, None], out=marks[: about.size].reshape(about.shape))
+        qs, vs = np.divmod(np.flatnonzero(np.logical_not(below, out=below)), width)
+        vs = vs + lo
+        dot = np.zeros(len(qs))
+        for a, b in zip(v_cols, q_cols, strict=True):
+            dot += a[vs] * b[qs]
+        size = v_norm[vs] * q_norm[qs]
+        said = _half_up(dot / size, digits)
+        good = (size != 0) & ~(said <= 0)
+        q_in, v_in, score = (np.concatenate((x, y[good])) for x, y in ((q_in, qs), (v_in, vs), (score, said)))
+        high = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((v_code[v_in], -high, q_in))
+        q_in, v_in, score, high = q_in[order], v_in[order], score[order], high[order]
+        turn = np.arange(len(q_in)) - np.searchsorted(q_in, q_in)
+        least = np.full(len(q), unit / 4)
+        least[q_in[turn == k - 1]] = high[turn == k - 1] + unit / 4
+        q_in, v_in, score = (x[turn < k] for x in (q_in, v_in, score))
+    return q_in, v_in, score
 
 
 def _norms(m: np.ndarray) -> np.ndarray:
@@ -248,7 +276,7 @@ def label_metrics(ranks: DataFrame, labels: DataFrame, asked: DataFrame, cuts: t
 
     ``ranks``: query_id, item, rank; ``labels``: item, label; ``asked``: query_id, label.
     """
-    labels = labels.where("item is not null")
+    labels, asked = labels.where("item is not null"), asked.where("query_id is not null")
     of_label = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     itself = labels.groupBy(F.col("item").alias("query_id"), "label").agg(F.count(F.lit(1)).alias("own"))
     counted = asked.join(of_label, "label").join(itself, ["query_id", "label"], "left")
@@ -256,11 +284,12 @@ def label_metrics(ranks: DataFrame, labels: DataFrame, asked: DataFrame, cuts: t
     # Items listed more than once count as often as their pairs would.
     hits = [F.count_if(F.col("rank") <= c).alias(f"hits_{c}") for c in cuts]
     seen = ranks.groupBy("query_id", "item").agg(*hits, F.min("rank").alias("first"), F.count(F.lit(1)).alias("times"))
-    met = seen.join(labels, "item").join(asked, ["query_id", "label"]).groupBy("query_id")
-    met = met.agg(*(F.sum(f"hits_{c}").alias(f"hits_{c}") for c in cuts), F.min("first").alias("first"), F.sum(F.col("times") - 1).alias("again"))
-    one = totals.join(met, "query_id", "left")
-    one = one.select("query_id", *((F.col(f"hits_{c}") / (F.col("n") + F.col("again"))).alias(f"recall_{c}") for c in cuts), (1 / F.col("first")).alias("rr"))
-    every = ranks.select("query_id").union(totals.select("query_id")).distinct().join(one, "query_id", "left").na.fill(0.0)
+    # Ranks are read once, so the search runs once: queries without a hit of their label stay, with nulls.
+    pairs = seen.join(labels, "item", "left").join(asked.withColumn("met", F.lit(True)), ["query_id", "label"], "left")
+    of_met = lambda c: F.when(F.col("met"), c)
+    met = pairs.groupBy("query_id").agg(*(F.sum(of_met(F.col(f"hits_{c}"))).alias(f"hits_{c}") for c in cuts), F.min(of_met(F.col("first"))).alias("first"), F.sum(of_met(F.col("times") - 1)).alias("again"))
+    every = totals.join(met, "query_id", "full")
+    every = every.select(*((F.col(f"hits_{c}") / (F.col("n") + F.col("again"))).alias(f"recall_{c}") for c in cuts), (1 / F.col("first")).alias("rr")).na.fill(0.0)
     return every.agg(*(F.round(F.avg(f"recall_{c}"), 6).alias(f"recall_{c}") for c in cuts), F.round(F.avg("rr"), 6).alias("mrr"))
 
 

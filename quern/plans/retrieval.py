@@ -89,12 +89,14 @@ def _phrases(text):
     return F.filter(F.split(text, "[.\n]+ *"), lambda p: p != "")
 
 
-SQL_VECTOR = """
-vq as (select vec_id as query_id, embedding as query from embeddings where vec_id % 100 = 0),
+SQL_COSINE = """
+vq as (select vec_id as query_id, embedding as query from embeddings{0}),
 vs as (select query_id, vec_id, round(list_cosine_similarity(cast(embedding as double[]), cast(query as double[])), 6) as score
        from embeddings, vq where vec_id <> query_id),
 vr as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from vs where score > 0)"""
 
+SQL_VECTOR = SQL_COSINE.format(" where vec_id % 100 = 0")
+
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -171,8 +173,8 @@ def acceptance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {SQL_VECTOR},
-rel as (select q.vec_id as query_id, v.vec_id from embeddings v, embeddings q where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id and v.label = q.label),
+with {SQL_COSINE.format("")},
+rel as (select q.vec_id as query_id, v.vec_id from embeddings v, embeddings q where v.vec_id <> q.vec_id and v.label = q.label),
 one as (select query_id, count(*) filter (rank <= 1) / count(*) as recall_1, count(*) filter (rank <= 3) / count(*) as recall_3, count(*) filter (rank <= 5) / count(*) as recall_5,
                count(*) filter (rank <= 10) / count(*) as recall_10, coalesce(1 / min(rank), 0.0) as rr
         from rel left join (select * from vr where rank <= 10) using (query_id, vec_id) group by 1),
@@ -180,11 +182,11 @@ e as (select query_id from vr where rank <= 10 union select query_id from rel)
 select round(avg(coalesce(recall_1, 0)), 6) as recall_1, round(avg(coalesce(recall_3, 0)), 6) as recall_3, round(avg(coalesce(recall_5, 0)), 6) as recall_5,
        round(avg(coalesce(recall_10, 0)), 6) as recall_10, round(avg(coalesce(rr, 0)), 6) as mrr from e left join one using (query_id)""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and reciprocal rank of cosine search for equal labels."""
+    """Recall and reciprocal rank of cosine search for equal labels, every vector being a query."""
     vectors = table(spark, sf_dir, "embeddings")
-    ranks = R.vector_top(vectors, _vector_queries(spark, sf_dir), 10).withColumnRenamed("vec_id", "item")
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return R.label_metrics(ranks, vectors.select(F.col("vec_id").alias("item"), "label"), asked)
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    ranks = R.vector_top(vectors, asked, 10).withColumnRenamed("vec_id", "item")
+    return R.label_metrics(ranks, vectors.select(F.col("vec_id").alias("item"), "label"), asked.select("query_id", "label"))
 
 
 @query("""

@@ -81,6 +81,60 @@ def test_search_and_metrics_list_no_pairs(spark, sf_dir):
     assert "__queries" not in plan and "NOT (vec_id" not in plan
 
 
+def test_metrics_ask_for_every_vector(spark, tmp_path):
+    """Figures of search quality come from all vectors as queries, not from the ids that 100 divides, in the query and in its SQL."""
+    import duckdb
+
+    up, right = [1.0, 0.1], [0.1, 1.0]
+    rows = [(1, up, 0), (2, up, 0), (3, right, 0), (4, right, 1), (100, up, 1), (7, up, None), (8, None, 0), (None, up, 0), (9, right, 5), (9, up, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/three/embeddings.parquet")
+    query, sql = (x["retrieval_metrics"] for x in (__spark_entry__.queries(), __spark_entry__.oracle_sql()))
+    for at in (tmp_path, tmp_path / "three"):
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from read_parquet('{at}/embeddings.parquet/*.parquet')")
+        same(query(spark, str(at)).toPandas(), con.execute(sql).df())
+    # Vectors 1 and 2 find each other first, then 3; vector 3 finds both at ranks 1 and 2.
+    assert query(spark, str(tmp_path / "three")).first().asDict() == {"recall_1": 0.5, "recall_3": 1.0, "recall_5": 1.0, "recall_10": 1.0, "mrr": 1.0}
+
+
+def test_cosine_search_in_slices(monkeypatch):
+    """Ties, repeated ids, NaN, zeros and numbers out of range do not depend on slices; all pairs beside them."""
+    import numpy as np
+
+    from quern.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (230, 3)).astype(float)
+    v[100:180] = v[100]
+    v[[5, 50, 200]] = [[np.nan, 1, 1], [0, 0, 0], [1e150, 2e150, 0]]
+    code = rng.permutation(np.arange(230) // 2 * 2)
+    with np.errstate(all="ignore"):
+        dot = sum(a[:, None] * b[None] for a, b in zip(v.T, v.T, strict=True))
+        size = R._norms(v)[:, None] * R._norms(v)[None]
+        score = R._half_up((dot / size).ravel(), 6).reshape(dot.shape)
+    want = []
+    for q in range(len(v)):
+        hits = [(np.inf if np.isnan(score[q, i]) else score[q, i], int(code[i])) for i in range(len(v)) if code[i] != code[q] and size[q, i] != 0 and not score[q, i] <= 0]
+        want += [(q, c, s) for s, c in sorted(hits, key=lambda x: (-x[0], x[1]))[:10]]
+    for queries, vectors in ((512, 2048), (7, 30), (1, 12), (100, 3)):
+        monkeypatch.setattr(R, "QUERY_SLICE", queries)
+        monkeypatch.setattr(R, "SLICE", vectors)
+        q_in, v_in, found = R._best_pairs(v, v, code, code, 10, 6)
+        got = zip(q_in.tolist(), code[v_in].tolist(), np.where(np.isnan(found), np.inf, found).tolist(), strict=True)
+        assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("queries, vectors, want", [(0, 0, (1, 1)), (9, 5, (1, 1)), (90, 90, (6, 1)), (190, 190, (3, 2)), (1000, 1000, (10, 10)), (9, 5000, (1, 50))])
+def test_blocks_of_cosine_search(monkeypatch, queries, vectors, want):
+    """Blocks of queries are no more than calls need, and neither side's are longer than they may be."""
+    from quern.operators import retrieval as R
+
+    for name, n in (("QUERY_BLOCK", 10), ("VECTOR_BLOCK", 100), ("CALLS", 6)):
+        monkeypatch.setattr(R, name, n)
+    assert R._blocks(queries, vectors) == want
+
+
 @pytest.mark.parametrize("x, digits, want", [(0.1234565, 6, 0.123457), (0.1234564999, 6, 0.123456), (0.5, 0, 1.0), (0.0000005, 6, 0.000001), (1.0000000000000002, 6, 1.0)])
 def test_rounded_as_spark_rounds(spark, x, digits, want):
     import numpy as np
